@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from .packing import op3_packing
+from .pieces import op9_sentencepiece
+from .simhash import op10_simhash
 from .simple8b import op1_simple8b
 
-QUERIES = {"op1_simple8b": op1_simple8b}
+QUERIES = {"op1_simple8b": op1_simple8b, "op3_packing": op3_packing, "op9_sentencepiece": op9_sentencepiece, "op10_simhash": op10_simhash}
 
 ORACLE_SQL: dict[str, str] = {}
