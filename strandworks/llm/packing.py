@@ -97,6 +97,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int =
     of their own; an empty table gives no rows. sequence_id is the task's number and a running number.
     """
 
+    common.prepare(docs.sparkSession)
+
     def pack(batches):
         import pyarrow as pa
         from pyspark import TaskContext

@@ -225,6 +225,8 @@ def coder(path: str) -> PieceCoder:
 def encode_documents(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, ids, and begins and ends of each piece in the text's UTF-8 bytes. Null text: empty arrays; repeated rows stay."""
 
+    common.prepare(docs.sparkSession)
+
     def encode(batches):
         import pyarrow as pa
 
@@ -242,6 +244,8 @@ def digest_documents(docs: DataFrame, model: str, end_id: int | None = None) ->
     Null text counts as empty (the end id alone); repeated rows stay; an empty table gives no rows.
     """
 
+    common.prepare(docs.sparkSession)
+
     def digest(batches):
         import pyarrow as pa
 

@@ -2,11 +2,24 @@
 
 from __future__ import annotations
 
+from .language import op6_language
 from .packing import op3_packing
 from .pieces import op9_sentencepiece
+from .quality import OP2_SQL, op2_quality
 from .simhash import op10_simhash
 from .simple8b import op1_simple8b
+from .warc import op5_warc
+from .winnow import op4_winnowing
 
-QUERIES = {"op1_simple8b": op1_simple8b, "op3_packing": op3_packing, "op9_sentencepiece": op9_sentencepiece, "op10_simhash": op10_simhash}
+QUERIES = {
+    "op1_simple8b": op1_simple8b,
+    "op2_quality": op2_quality,
+    "op3_packing": op3_packing,
+    "op4_winnowing": op4_winnowing,
+    "op5_warc": op5_warc,
+    "op6_language": op6_language,
+    "op9_sentencepiece": op9_sentencepiece,
+    "op10_simhash": op10_simhash,
+}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_quality": OP2_SQL}

@@ -53,6 +53,8 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and fp (the fingerprint's bits as a signed long) of every row. Null text: 0."""
 
+    common.prepare(docs.sparkSession)
+
     def run(batches):
         import pyarrow as pa
 

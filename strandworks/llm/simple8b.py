@@ -197,6 +197,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str)
     leaves no trace in the result. Repeated rows are documents of their own; a null id sorts first; an empty table gives an empty manifest.
     """
 
+    common.prepare(docs.sparkSession)
+
     def write(batches):
         import pyarrow as pa
 
@@ -227,6 +229,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str)
 def read_token_files(manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document in the files: one row of the manifest is one task's work."""
 
+    common.prepare(manifest.sparkSession)
+
     def read(batches):
         import pyarrow as pa
 
