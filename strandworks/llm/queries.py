@@ -8,6 +8,7 @@ from .pieces import op9_sentencepiece
 from .quality import OP2_SQL, op2_quality
 from .simhash import op10_simhash
 from .simple8b import op1_simple8b
+from .toxicity import op8_toxicity
 from .warc import op5_warc
 from .winnow import op4_winnowing
 
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_winnowing": op4_winnowing,
     "op5_warc": op5_warc,
     "op6_language": op6_language,
+    "op8_toxicity": op8_toxicity,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_simhash": op10_simhash,
 }
