@@ -6,6 +6,7 @@ from .language import op6_language
 from .packing import op3_packing
 from .pieces import op9_sentencepiece
 from .quality import OP2_SQL, op2_quality
+from .secrets import op7_secrets
 from .simhash import op10_simhash
 from .simple8b import op1_simple8b
 from .toxicity import op8_toxicity
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_winnowing": op4_winnowing,
     "op5_warc": op5_warc,
     "op6_language": op6_language,
+    "op7_secrets": op7_secrets,
     "op8_toxicity": op8_toxicity,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_simhash": op10_simhash,
