@@ -12,7 +12,17 @@ _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 #: Modules that register queries when imported.
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = (
+    "strandworks.functions.scalar",
+    "strandworks.operators.select",
+    "strandworks.operators.lapped",
+    "strandworks.operators.quant",
+    "strandworks.operators.gain",
+    "strandworks.operators.frames",
+    "strandworks.operators.labels",
+    "strandworks.operators.evaluate",
+    "strandworks.plans.compress",
+)
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
