@@ -26,8 +26,8 @@ def with_lag(df: DataFrame, key: str, column: str, out: str) -> DataFrame:
     """Adds the column's value in the row before, in order of a unique key. A stretch's first row gets the last value of the stretch before from a table with a row a stretch."""
     cut = df.withColumn("_s", stretch(F.col(key), bounds_of(df, key)))
     w = Window.partitionBy("_s").orderBy(key)
-    last = cut.groupBy("_s").agg(F.max_by(column, key).alias("_last")).withColumn("_before", F.lag("_last").over(Window.orderBy("_s"))).select("_s", "_before")
-    return cut.withColumn("_n", F.row_number().over(w)).withColumn("_lag", F.lag(column).over(w)).join(last, "_s").withColumn(out, F.when(F.col("_n") == 1, F.col("_before")).otherwise(F.col("_lag"))).drop("_s", "_n", "_lag", "_before")
+    last = cut.groupBy("_s").agg(F.max_by(column, key).alias("_last")).withColumn("_prior", F.lag("_last").over(Window.orderBy("_s"))).select("_s", "_prior")
+    return cut.withColumn("_n", F.row_number().over(w)).withColumn("_lag", F.lag(column).over(w)).join(last, "_s").withColumn(out, F.when(F.col("_n") == 1, F.col("_prior")).otherwise(F.col("_lag"))).drop("_s", "_n", "_lag", "_prior")
 
 
 def with_running_sum(df: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:

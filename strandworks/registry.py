@@ -21,7 +21,13 @@ MODULES: tuple[str, ...] = (
     "strandworks.operators.frames",
     "strandworks.operators.labels",
     "strandworks.operators.evaluate",
+    "strandworks.operators.headers",
+    "strandworks.operators.entropy",
+    "strandworks.operators.spectral",
+    "strandworks.operators.geometry",
     "strandworks.plans.compress",
+    "strandworks.sources.segy",
+    "strandworks.streaming.streams",
 )
 
 
