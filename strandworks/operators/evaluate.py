@@ -17,10 +17,11 @@ def centroids(df: DataFrame) -> DataFrame:
 
 
 def distances(df: DataFrame) -> DataFrame:
-    """Adds d: an array of (distance, class) to each class's centroid, in order of class. The table of centroids has a row and travels to all tasks."""
-    all_ = centroids(df).agg(F.array_sort(F.collect_list(F.struct("label", "centroid"))).alias("c"))
+    """Adds d: an array of (distance, class) to each class's centroid, in order of class. The centroids are the fitted model: a few rows, which go into the plan."""
+    fitted = sorted(centroids(df).collect())
+    model = F.array(*(F.struct(F.lit(label).alias("label"), F.lit(list(centroid)).alias("centroid")) for label, centroid in fitted)) if fitted else F.array().cast("array<struct<label:int,centroid:array<double>>>")
     far = lambda c: F.sqrt(F.aggregate(F.zip_with("samples", c["centroid"], lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, v: s + v))
-    return df.join(F.broadcast(all_)).select("trace_id", F.col("frame_key").alias("label"), F.transform("c", lambda c: F.struct(far(c).alias("dist"), c["label"].alias("class"))).alias("d"))
+    return df.select("trace_id", F.col("frame_key").alias("label"), F.transform(model, lambda c: F.struct(far(c).alias("dist"), c["label"].alias("class"))).alias("d"))
 
 
 def scored(spark, d) -> DataFrame:
