@@ -16,7 +16,7 @@ from array import array
 import numpy as np
 
 #: Units and words kept by a worker, about 200 bytes each, and the longest kept.
-CACHE_UNITS, CACHE_WORDS, CACHE_CHARS = 600_000, 400_000, 40
+CACHE_UNITS, CACHE_WORDS, CACHE_HEADS, CACHE_CHARS = 600_000, 400_000, 50_000, 40
 _ODD = re.compile(r"\s (?:\s|\Z)")
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _encoders: dict[str, "UnitEncoder"] = {}
@@ -43,7 +43,7 @@ class UnitEncoder(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.model, self.letters, self.words = self.tokenizer.model, _byte_letters(), {}
+        self.model, self.letters, self.words, self.heads = self.tokenizer.model, _byte_letters(), {}, {}
         self.space = self.letters[32]
 
     def whole(self, text: str) -> bytes:
@@ -71,6 +71,15 @@ class UnitEncoder(dict):
             self[unit] = ids
         return ids
 
+    def head(self, unit: str) -> bytes:
+        """Ids of a text's first unit, which no space leads."""
+        ids = self.heads.get(unit)
+        if ids is None:
+            ids = self.whole(unit) if unit else b""
+            if len(self.heads) < CACHE_HEADS and len(unit) <= CACHE_CHARS:
+                self.heads[unit] = ids
+        return ids
+
     def encode(self, text: str) -> bytes:
         """The ids of a whole text, as little-endian unsigned 32-bit integers."""
         if not text:
@@ -78,7 +87,7 @@ class UnitEncoder(dict):
         if _ODD.search(text):
             return self.whole(text)
         first, *units = text.split(" ")
-        return (self.whole(first) if first else b"") + b"".join(map(self.__getitem__, units))
+        return self.head(first) + b"".join(map(self.__getitem__, units))
 
 
 def encoder(path: str) -> UnitEncoder:
