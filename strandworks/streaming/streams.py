@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..registry import query
@@ -25,12 +25,12 @@ def folder(spark: SparkSession, name: str) -> str:
 
 def stream_of(spark: SparkSession, d: str, name: str) -> DataFrame:
     """A table's files as a stream; each file is read once, whatever fails meanwhile."""
-    schema = table(spark, d, name).schema
-    path = f"{d}/{name}.parquet"
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8)
-    if table(spark, d, name).inputFiles()[:1] == [] or len(table(spark, d, name).inputFiles()) > 1:
-        return reader.parquet(path)
-    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(d)
+    there = table(spark, d, name)
+    reader = spark.readStream.schema(there.schema).option("maxFilesPerTrigger", 8)
+    files = there.inputFiles()
+    if len(files) == 1 and files[0].endswith(f"/{name}.parquet"):  # a single file, which a stream finds in its folder
+        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(d)
+    return reader.parquet(f"{d}/{name}.parquet")
 
 
 def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
