@@ -69,7 +69,7 @@ def test_archives_cut_short():
 def test_perfect_code():
     rng = np.random.default_rng(1)
     words = rng.integers(0, 1 << 31, 500)
-    rows, codes, home = warc_free_anchors(words)
+    rows, codes, home = simhash.anchors(words)
     for k in range(len(words)):
         own = codes[rows == k]
         assert len(set(own.tolist())) == len(own) and home[rows == k].sum() == 1
@@ -78,10 +78,6 @@ def test_perfect_code():
     assert (simhash.syndromes(codes) == 0).all()
 
 
-def warc_free_anchors(words):
-    return simhash.anchors(words)
-
-
 def brute(rows):
     import xxhash
 
