@@ -10,7 +10,7 @@ from .secrets import op7_secrets
 from .simhash import op10_simhash
 from .simple8b import op1_simple8b
 from .toxicity import op8_toxicity
-from .warc import op5_warc
+from .warc import OP5_SQL, op5_warc
 from .winnow import op4_winnowing
 
 QUERIES = {
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_simhash": op10_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_quality": OP2_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_quality": OP2_SQL, "op5_warc": OP5_SQL}

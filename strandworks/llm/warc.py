@@ -254,3 +254,18 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.prepare(spark)
     manifest = write_archives(with_refers_to(common.table(spark, sf_dir, "pages")), common.work_dir(spark, "warc"))
     return read_archives(manifest)
+
+
+#: Base 32 by two hex digits at a time: the j-th letter's five bits begin 5 j % 4 bits into the digit 5 j // 4.
+_HEX_AT = "(strpos('0123456789abcdef', substr(s, {}, 1)) - 1)"
+_LETTER = f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((16 * {_HEX_AT.format('5 * j // 4 + 1')} + {_HEX_AT.format('5 * j // 4 + 2')}) >> (3 - 5 * j % 4)) & 31), 1)"
+OP5_SQL = f"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) || '0' AS s FROM pages
+), m AS (
+  SELECT h, max(page_id) AS first FROM p GROUP BY h
+)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, array_to_string(list_transform(range(32), lambda j: {_LETTER}), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM p JOIN m USING (h)
+"""

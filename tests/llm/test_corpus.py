@@ -10,7 +10,8 @@ import numpy as np
 import pytest
 
 from llm_data import LONG, ROWS, documents, empty
-from strandworks.llm import common, components, simhash, warc
+from oracle import assert_same, connect
+from strandworks.llm import common, components, queries, simhash, warc
 
 PAGES = [(1, "http://a/ü x", "same"), (2, "http://b", "same"), (3, None, None), (4, "u", ""), (5, "u", "é" * 70_000), (6, "u", "é" * 70_000), (6, "u", "é" * 70_000), (8, "u\r\nX: y", "<p>0\r\n\r\n</p>")]
 
@@ -28,6 +29,10 @@ def test_archives_come_back(spark):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
 
 
+def test_archives_oracle(spark, small):
+    assert_same(queries.QUERIES["op5_warc"](spark, small), connect(small), queries.ORACLE_SQL["op5_warc"])
+
+
 def test_small_payloads_are_all_responses(spark):
     pages = spark.createDataFrame(PAGES, "page_id long, url string, html string")
     assert warc.with_refers_to(pages, 10).where("refers_to is not null").select("page_id").collect() == [(5,)]
