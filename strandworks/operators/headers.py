@@ -11,6 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.order import with_lag
 from ..registry import query
 from ..tables import headers, sql
 from .lapped import worker_path
@@ -149,12 +150,19 @@ def hdr_rle_expand(spark, d):
     return c.select("frame_no", "field_no", F.posexplode(F.flatten(F.transform("r", lambda x: x["v"]))).alias("i", "value"))
 
 
+def absent(used: DataFrame, n: int) -> DataFrame:
+    """The n smallest positive values that a column value (long) doesn't have: from the gaps between its distinct values, and from what lies past the largest."""
+    values = used.where("value > 0").distinct()
+    gaps = with_lag(values, "value", "value", "below").select(F.coalesce("below", F.lit(0)).alias("below"), "value").where("value > below + 1").select("below", (F.col("value") - 1).alias("top"))
+    past = values.agg(F.coalesce(F.max("value"), F.lit(0)).alias("below")).select("below", (F.col("below") + n).alias("top"))
+    found = gaps.unionByName(past).select(F.explode(F.sequence(F.col("below") + 1, F.least("top", F.col("below") + n))).alias("value"))
+    return found.orderBy("value").limit(n)
+
+
 @query("absent_values", sql("headers", body="c AS (SELECT unnest(range(1, 2000)) AS value) SELECT CAST(value AS BIGINT) AS value FROM c WHERE value NOT IN (SELECT h1 FROM headers) ORDER BY value LIMIT 5"))
 def absent_values(spark, d):
     """The five smallest numbers that a field doesn't have, to stand for runs."""
-    candidates = spark.range(1, 2000).select(F.col("id").alias("value"))
-    used = headers(spark, d).select(F.col("h1").cast("long").alias("value"))
-    return candidates.join(used, "value", "left_anti").orderBy("value").limit(5)
+    return absent(headers(spark, d).select(F.col("h1").cast("long").alias("value")), 5)
 
 
 @query("deflate_roundtrip")
