@@ -103,7 +103,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int =
         import pyarrow as pa
         from pyspark import TaskContext
 
-        enc, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        enc, end = encoder(tokenizer, literal=False), np.array([end_id], "<u4").tobytes()
         sequence = TaskContext.get().partitionId() << 33
         names = [x.split()[0] for x in SCHEMA.split(", ")]
 

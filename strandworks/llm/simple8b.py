@@ -202,7 +202,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str)
     def write(batches):
         import pyarrow as pa
 
-        enc, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        enc, end = encoder(tokenizer, literal=False), np.array([end_id], "<u4").tobytes()
         out, part, uri = None, None, ""
 
         def closed():

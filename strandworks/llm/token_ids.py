@@ -3,7 +3,7 @@
 The pre-tokenizer of a byte-level BPE never joins a space and the non-space before it, so ids of a text are
 those of its units (a space and what follows up to the next space), one after another. That holds unless a space lies
 between white space on both sides, where runs of white space are split by what follows; such texts go to the tokenizer
-whole. A unit of letters and trailing ASCII punctuation is two pre-tokens, which go to the tokenizer's model directly.
+whole, and so do texts with the content of an added token. A unit of letters and trailing ASCII punctuation is two pre-tokens, which go to the tokenizer's model directly.
 Every id comes from the tokenizers library; the caches only save asking again.
 """
 
@@ -19,7 +19,7 @@ import numpy as np
 CACHE_UNITS, CACHE_WORDS, CACHE_HEADS, CACHE_CHARS = 600_000, 400_000, 50_000, 40
 _ODD = re.compile(r"\s (?:\s|\Z)")
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-_encoders: dict[str, "UnitEncoder"] = {}
+_encoders: dict[tuple[str, bool], "UnitEncoder"] = {}
 
 
 def _byte_letters() -> dict[int, str]:
@@ -36,13 +36,15 @@ def _byte_letters() -> dict[int, str]:
 class UnitEncoder(dict):
     """unit -> its ids as little-endian unsigned 32-bit integers, filled when asked."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, literal: bool = True):
+        """literal: the content of an added token is text like any other; else it is that token, as at the library's defaults."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = literal
+        self.added = [] if literal else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.letters, self.words, self.heads = self.tokenizer.model, _byte_letters(), {}, {}
         self.space = self.letters[32]
 
@@ -84,17 +86,17 @@ class UnitEncoder(dict):
         """The ids of a whole text, as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if _ODD.search(text):
+        if _ODD.search(text) or any(a in text for a in self.added):
             return self.whole(text)
         first, *units = text.split(" ")
         return self.head(first) + b"".join(map(self.__getitem__, units))
 
 
-def encoder(path: str) -> UnitEncoder:
+def encoder(path: str, literal: bool = True) -> UnitEncoder:
     """This process's encoder for a tokenizer file."""
-    if path not in _encoders:
-        _encoders[path] = UnitEncoder(path)
-    return _encoders[path]
+    if (path, literal) not in _encoders:
+        _encoders[path, literal] = UnitEncoder(path, literal)
+    return _encoders[path, literal]
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
