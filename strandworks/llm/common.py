@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
 
-#: Rows handed to a Python worker at once; whole texts may be long, so batches stay short.
-ROWS_A_BATCH = 256
+#: Rows and bytes that a Python worker works on at once: texts may be long.
+BATCH_ROWS, BATCH_BYTES = 512, 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,15 +24,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Lets Python workers import this package where they share the driver's disk, and keeps Arrow batches short.
-
-    A cluster gets the package by ``--py-files`` as usual; the extra path does no harm there.
-    """
+    """Lets Python workers import this package where they share the driver's disk. A cluster gets it by ``--py-files`` as usual; the extra path does no harm there."""
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_A_BATCH))
+
+
+def short(batches, rows: int = BATCH_ROWS, most: int = BATCH_BYTES):
+    """Arrow batches cut into slices (no copies) of at most so many rows, and so many bytes unless a row alone has more."""
+    for batch in batches:
+        n = batch.num_rows
+        if n <= rows and batch.nbytes <= most:
+            yield batch
+            continue
+        a = 0
+        while a < n:
+            k = min(rows, n - a)
+            while k > 1 and batch.slice(a, k).nbytes > most:
+                k = (k + 1) // 2
+            yield batch.slice(a, k)
+            a += k
 
 
 def shared_root(spark: SparkSession) -> str:

@@ -13,7 +13,6 @@ import zlib
 from bisect import bisect_right, insort
 from collections import deque
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common
@@ -103,17 +102,17 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int =
         import pyarrow as pa
         from pyspark import TaskContext
 
-        enc, end = encoder(tokenizer, literal=False), np.array([end_id], "<u4").tobytes()
+        enc = encoder(tokenizer, literal=False)
         sequence = TaskContext.get().partitionId() << 33
         names = [x.split()[0] for x in SCHEMA.split(", ")]
 
         def packed(ids, doc_ids):
             nonlocal sequence
             columns = [[] for _ in names]
-            for window in windows([len(x) // 4 for x in ids], capacity):
+            for window in windows(list(map(len, ids)), capacity):
                 offset = 0
                 for doc, start, length in window:
-                    row = (doc_ids[doc], start, length, zlib.crc32(memoryview(ids[doc])[4 * start : 4 * (start + length)]), len(ids[doc]) // 4, sequence, offset)
+                    row = (doc_ids[doc], start, length, zlib.crc32(ids[doc][start : start + length]), len(ids[doc]), sequence, offset)
                     for column, value in zip(columns, row):
                         column.append(value)
                     offset += length
@@ -121,11 +120,13 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int =
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
         ids, doc_ids, n = [], [], 0
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids.append(enc.encode(text.as_py() or "") + end)
+        for batch in common.short(batches):
+            got, bounds = enc.encode_with_end(batch.column(1), end_id)
+            got, bounds = got.astype("<u4", copy=False), bounds.tolist()
+            for doc_id, a, b in zip(batch.column(0).to_pylist(), bounds, bounds[1:]):
+                ids.append(got[a:b])
                 doc_ids.append(doc_id)
-                n += len(ids[-1]) // 4
+                n += b - a
                 if n >= GROUP_IDS:
                     yield packed(ids, doc_ids)
                     ids, doc_ids, n = [], [], 0

@@ -4,24 +4,23 @@ The model's compiled character map is a double-array trie over UTF-8 bytes: norm
 records, for every byte it puts out, the source byte it came from. Ids come from the sentencepiece library; pieces follow one another through the
 normalised bytes, so the record projects each to its source bytes.
 
-Where no piece has a space mark after another character and normalisation works character by character, merges never cross into a space mark, and a text is encoded by its
-chunks (marks and what follows them), each normalised, encoded and projected once and kept in a bounded cache.
+Where no piece has a space mark after another character and normalisation only changes space marks, merges never cross into a space mark, and texts are encoded by their
+chunks (marks and what follows them), looked up many at a time in a bounded table. The projection is then a sum of what each piece takes of the source.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
-from itertools import accumulate, chain
+from functools import cached_property
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common
+from .segments import MOST_KEYS, SegmentTable, text_bytes
 from .token_ids import vocabulary
 
-#: Chunks kept by a worker, some 400 bytes each, and the longest kept.
-CACHE_CHUNKS, CACHE_CHARS = 400_000, 40
 MARK = "▁"
 _coders: dict[str, "PieceCoder"] = {}
 
@@ -140,13 +139,10 @@ class Normalizer:
         return bytes(out), [*origin, at]
 
 
-class PieceCoder(dict):
-    """chunk -> (ids as decimals, ids, source bytes of each piece, their sum), filled when asked."""
-
-    def __init__(self, path: str):
+class PieceCoder:
+    def __init__(self, path: str, most: int = MOST_KEYS):
         import sentencepiece
 
-        super().__init__()
         with open(path, "rb") as f:
             blob = f.read()
         self.library = sentencepiece.SentencePieceProcessor(model_proto=blob)
@@ -154,10 +150,16 @@ class PieceCoder(dict):
         pieces = [self.library.id_to_piece(i) for i in range(self.library.get_piece_size())]
         self.byte = [self.library.is_byte(i) for i in range(len(pieces))]
         self.size = [1 if b else len(p.encode()) for p, b in zip(pieces, self.byte)]
-        self.unknown = self.library.unk_id()
+        #: source bytes of each piece where only space marks differ from the source
+        self.source = np.array([n if b else n - p.count(MARK) * (len(MARK.encode()) - 1) for p, b, n in zip(pieces, self.byte, self.size)], np.int64)
+        self.unknown, self.mark = self.library.unk_id(), self.library.piece_to_id(MARK)
         n = self.normalizer
         self.by_chunk = n.dummy_prefix and n.escape and not n.squeeze and not n.map.units and not any(MARK in p.lstrip(MARK) for p in pieces)
-        self.chunks = re.compile(" +[^ ]*|[^ ]+")
+        self.table = SegmentTable(self._ask, most)
+
+    def _ask(self, chunks: list[str]) -> list[list[int]]:
+        """Ids of chunks led by a space or more: the normaliser's prefix stands for the first of them."""
+        return [ids or [self.mark] for ids in self.library.encode([c[1:] for c in chunks], num_threads=1)]
 
     def _ends(self, text: str, ids: list[int]) -> list[int]:
         """Where each piece ends in the normalised bytes."""
@@ -170,49 +172,48 @@ class PieceCoder(dict):
 
         Of the byte pieces that spell a character, the last has all its source bytes and the others none.
         """
+        if not text:
+            return [], []
         ids, (_, origin) = self.library.encode(text), self.normalizer.align(text)
         ends = self._ends(text, ids)
         return ids, [(origin[a], origin[b]) for a, b in zip([0, *ends[:-1]], ends)]
 
-    def __missing__(self, chunk: str) -> tuple[str, list[int], list[int], int]:
-        """A chunk led by one space or more: the normaliser's prefix stands for the first of them, which is a source byte here."""
-        ids, spans = self.aligned(chunk[1:]) if len(chunk) > 1 else ([self.library.piece_to_id(MARK)], [(0, 0)])
-        sizes = [b - a for a, b in spans]
-        sizes[0] += 1
-        entry = (" ".join(map(str, ids)), ids, sizes, sum(sizes))
-        if len(chunk) <= CACHE_CHARS and len(self) < CACHE_CHUNKS:
-            self[chunk] = entry
-        return entry
-
-    def entries(self, text: str) -> list[tuple[str, list[int], list[int], int]] | None:
-        """The entries of a text's chunks, the first with the dummy prefix; None where chunks don't do."""
-        if not text or not self.by_chunk or MARK in text:
-            return None
-        first, *rest = self.chunks.findall(" " + text)
-        return [self[first], *map(self.__getitem__, rest)]
-
-    def encode(self, text: str) -> tuple[list[int], list[tuple[int, int]]]:
-        """Ids of a text, as the library gives them, and the source bytes [begin, end) of each."""
-        entries = self.entries(text)
-        if entries is None:
-            return self.aligned(text)
-        sizes = list(chain.from_iterable(e[2] for e in entries))
-        ends = (np.cumsum(sizes) - 1).tolist()  # the prefix isn't in the source
-        return list(chain.from_iterable(e[1] for e in entries)), list(zip([0, *ends[:-1]], ends))
-
-    def digest(self, text: str, end_id: int) -> tuple[int, str, str, int]:
-        """Ids with the end id: how many, their sha256; the sha256 of the decoded text; the source bytes that the pieces cover."""
-        entries = self.entries(text)
-        if entries is None:
-            ids, spans = self.aligned(text) if text else ([], [])
-            decimals, covered = [" ".join(map(str, ids))] if ids else [], spans[-1][1] if spans else 0
-        else:
-            decimals, pieces, _, sizes = zip(*entries)
-            ids, covered = list(chain.from_iterable(pieces)), sum(sizes) - 1
-        ids.append(end_id)
-        said = " ".join([*decimals, str(end_id)])
+    def encode(self, column) -> tuple[list[list[int]], np.ndarray]:
+        """Ids of each text of an Arrow column (null: empty), and how many source bytes its pieces project to."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        filled = pc.fill_null(column, "")
+        if not self.by_chunk:
+            got = [self.aligned(t) for t in filled.to_pylist()]
+            return [g[0] for g in got], np.array([g[1][-1][1] if g[1] else 0 for g in got], np.int64)
+        data, bounds = text_bytes(pc.binary_join_element_wise("", filled, pa.scalar(" ", filled.type)))  # the prefix as a space of its own
+        begins = data == 32
+        begins[1:] &= data[:-1] != 32
+        begins[bounds[:-1]] = True
+        (starts,) = np.nonzero(begins)
+        ids, counts = self.table.look_up(data, starts, np.diff(np.append(starts, len(data))))
+        cuts = np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(starts, bounds)]
+        covered = np.concatenate([[0], np.cumsum(self.source[ids])])[cuts]
+        flat, cuts = ids.tolist(), cuts.tolist()
+        out, covered = [flat[a:b] for a, b in zip(cuts, cuts[1:])], np.diff(covered) - 1
+        special = pc.or_(pc.equal(filled, ""), pc.match_substring(filled, MARK)).to_numpy(zero_copy_only=False)
+        for k in np.nonzero(special | np.array([self.unknown in x for x in out], bool))[0].tolist():
+            out[k], spans = self.aligned(filled[k].as_py())
+            covered[k] = spans[-1][1] if spans else 0
+        return out, covered
+
+    def digest(self, column, end_id: int) -> tuple[list[int], list[str], list[str], np.ndarray]:
+        """Of each text's ids with the end id: how many, their sha256; the sha256 of the decoded text; the source bytes that the pieces cover."""
+        ids, covered = self.encode(column)
+        for x in ids:
+            x.append(end_id)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        return len(ids), sha(said), sha(self.library.decode(ids)), covered
+        return list(map(len, ids)), [sha(" ".join(map(self._decimal, x))) for x in ids], [sha(t) for t in self.library.decode(ids, num_threads=1)] if ids else [], covered
+
+    @cached_property
+    def _decimal(self):
+        return [str(i) for i in range(len(self.byte))].__getitem__
 
 
 def coder(path: str) -> PieceCoder:
@@ -231,8 +232,8 @@ def encode_documents(docs: DataFrame, model: str) -> DataFrame:
         import pyarrow as pa
 
         enc = coder(model)
-        for batch in batches:
-            got = [enc.encode(t.as_py() or "") for t in batch.column(1)]
+        for batch in common.short(batches):
+            got = [enc.aligned(t.as_py() or "") for t in batch.column(1)]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "ids": pa.array([g[0] for g in got], pa.list_(pa.int32())), "begins": pa.array([[s[0] for s in g[1]] for g in got], pa.list_(pa.int32())), "ends": pa.array([[s[1] for s in g[1]] for g in got], pa.list_(pa.int32()))})
 
     return docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, ids array<int>, begins array<int>, ends array<int>")
@@ -241,7 +242,7 @@ def encode_documents(docs: DataFrame, model: str) -> DataFrame:
 def digest_documents(docs: DataFrame, model: str, end_id: int | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and covered_bytes (source bytes that pieces project to) of each document, in one pass.
 
-    Null text counts as empty (the end id alone); repeated rows stay; an empty table gives no rows.
+    Null text counts as empty (the end id alone); very long texts are worked on by themselves; repeated rows stay; an empty table gives no rows.
     """
 
     common.prepare(docs.sparkSession)
@@ -251,8 +252,8 @@ def digest_documents(docs: DataFrame, model: str, end_id: int | None = None) ->
 
         enc = coder(model)
         end = enc.library.eos_id() if end_id is None else end_id
-        for batch in batches:
-            n, ids, decoded, covered = zip(*(enc.digest(t.as_py() or "", end) for t in batch.column(1))) if batch.num_rows else ((),) * 4
+        for batch in common.short(batches):
+            n, ids, decoded, covered = enc.digest(batch.column(1), end)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids, pa.string()), "decoded_sha256": pa.array(decoded, pa.string()), "covered_bytes": pa.array(covered, pa.int64())})
 
     return docs.select("doc_id", "text").mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, covered_bytes long")

@@ -29,6 +29,8 @@ BLOCK = 1024
 MAGIC = b"SW8BLK01"
 #: Blocks encoded or decoded at once.
 STRIDE = 1024
+#: A part of the corpus goes on in a new file after so many documents or ids, so that an index stays small for writer and reader.
+FILE_DOCS, FILE_IDS = 500_000, 1 << 28
 _N = np.array((1, *COUNTS, 1), np.int64)
 _TAIL = struct.Struct("<QQQQ8s")
 
@@ -112,13 +114,14 @@ class Writer:
         fs.create_dir(path.rpartition("/")[0], recursive=True)
         self.out = fs.open_output_stream(path)
         self.out.write(MAGIC)
-        self.pending, self.n_pending, self.n = [], 0, 0
+        self.pending, self.n_pending, self.n, self.docs = [], 0, 0, 0
         self.block_words, self.block_escapes, self.escapes, self.doc_ids, self.ends = [], [], [], [], []
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.doc_ids.append(-(1 << 63) if doc_id is None else doc_id)
-        self.n += len(ids)
-        self.ends.append(self.n)
+    def add(self, doc_ids, ids: np.ndarray, bounds: np.ndarray) -> None:
+        """Documents of the given ids (None: null), whose values lie between the bounds (one more than there are documents)."""
+        self.doc_ids.append(np.array([-(1 << 63) if d is None else d for d in doc_ids], np.int64))
+        self.ends.append(self.n + (bounds[1:] - bounds[0]).astype(np.int64))
+        self.n, self.docs = self.n + len(ids), self.docs + len(doc_ids)
         self.pending.append(ids)
         self.n_pending += len(ids)
         if self.n_pending >= STRIDE * BLOCK:
@@ -138,9 +141,10 @@ class Writer:
         self._flush(self.n_pending)
         parts = [np.concatenate([np.empty(0, np.int64), *x]) for x in (self.block_words, self.block_escapes)]
         escapes = np.concatenate([np.empty(0, np.uint64), *self.escapes])
-        for a, kind in ((parts[0], "<u2"), (parts[1], "<u2"), (escapes, "<u8"), (np.array(self.doc_ids, np.int64), "<i8"), (np.array(self.ends, np.int64), "<i8")):
+        doc_ids, ends = (np.concatenate([np.empty(0, np.int64), *x]) for x in (self.doc_ids, self.ends))
+        for a, kind in ((parts[0], "<u2"), (parts[1], "<u2"), (escapes, "<u8"), (doc_ids, "<i8"), (ends, "<i8")):
             self.out.write(a.astype(kind).tobytes())
-        self.out.write(_TAIL.pack(self.n, len(parts[0]), len(escapes), len(self.doc_ids), MAGIC))
+        self.out.write(_TAIL.pack(self.n, len(parts[0]), len(escapes), self.docs, MAGIC))
         self.out.close()
 
 
@@ -189,12 +193,12 @@ class Reader:
             start = end
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str, file_docs: int = FILE_DOCS, file_ids: int = FILE_IDS) -> DataFrame:
     """Encodes the texts (null: empty), adds end_id, and writes files in ascending (doc_id, text) order.
 
-    Documents are dealt by stretches of doc_id, a file each, so files follow one another in order and no task needs more than its own stretches.
-    Each attempt writes its own file and only files named in the returned manifest (part, uri, n_docs, n_ids) count, so a lost or repeated task
-    leaves no trace in the result. Repeated rows are documents of their own; a null id sorts first; an empty table gives an empty manifest.
+    Documents are dealt by stretches of doc_id, a file each or several where it grows long, so files follow one another in order of (part, number) and no task needs more
+    than its own stretches. Each attempt writes its own files and only those named in the returned manifest (part, number, uri, n_docs, n_ids) count, so a lost or repeated
+    task leaves no trace in the result. Repeated rows are documents of their own; a null id sorts first; an empty table gives an empty manifest.
     """
 
     common.prepare(docs.sparkSession)
@@ -202,28 +206,32 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str)
     def write(batches):
         import pyarrow as pa
 
-        enc, end = encoder(tokenizer, literal=False), np.array([end_id], "<u4").tobytes()
-        out, part, uri = None, None, ""
+        enc, out, part, number, uri = encoder(tokenizer, literal=False), None, None, 0, ""
 
         def closed():
             out.close()
-            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "uri": [uri], "n_docs": pa.array([len(out.doc_ids)], pa.int64()), "n_ids": pa.array([out.n], pa.int64())})
-
-        for batch in batches:
-            for at, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                if at != part or out is None:
-                    if out:
-                        yield closed()
-                    part, uri = at, f"{folder}/part-{at:06d}-{uuid.uuid4().hex}.ids"
+            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "number": pa.array([number], pa.int32()), "uri": [uri], "n_docs": pa.array([out.docs], pa.int64()), "n_ids": pa.array([out.n], pa.int64())})
+
+        for batch in common.short(batches):
+            ids, bounds = enc.encode_with_end(batch.column(2), end_id)
+            parts, doc_ids = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            cuts = np.concatenate([[0], np.nonzero(np.diff(parts))[0] + 1, [len(parts)]])
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if out and (parts[a] != part or out.docs >= file_docs or out.n >= file_ids):
+                    yield closed()
+                    number, out = (number + 1 if parts[a] == part else 0), None
+                if out is None:
+                    part = int(parts[a])
+                    uri = f"{folder}/part-{part:06d}-{number:04d}-{uuid.uuid4().hex}.ids"
                     out = Writer(uri)
-                out.add(doc_id, np.frombuffer(enc.encode(text.as_py() or "") + end, "<u4"))
+                out.add(doc_ids[a:b], ids[bounds[a] : bounds[b]], bounds[a : b + 1])
         if out:
             yield closed()
 
     parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = docs.select(common.stretch_of(F.col("doc_id"), common.id_bounds(docs, "doc_id", parts)).alias("part"), "doc_id", "text")
     ordered = dealt.repartition("part").sortWithinPartitions("part", "doc_id", "text")
-    return common.stored(ordered.mapInArrow(write, "part int, uri string, n_docs long, n_ids long"), "token-manifest")
+    return common.stored(ordered.mapInArrow(write, "part int, number int, uri string, n_docs long, n_ids long"), "token-manifest")
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
@@ -251,7 +259,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*chunk), kinds)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     # a row for each file: small enough for one ordered window at any size of corpus
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.select("uri", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
     return files.repartition(max(1, manifest.count())).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 

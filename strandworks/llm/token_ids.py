@@ -1,101 +1,108 @@
-"""Byte-level BPE ids of whole texts, with bounded caches of space-led units and words.
+"""Byte-level BPE ids of whole texts, many texts at a time.
 
 The pre-tokenizer of a byte-level BPE never joins a space and the non-space before it, so ids of a text are
 those of its units (a space and what follows up to the next space), one after another. That holds unless a space lies
 between white space on both sides, where runs of white space are split by what follows; such texts go to the tokenizer
-whole, and so do texts with the content of an added token. A unit of letters and trailing ASCII punctuation is two pre-tokens, which go to the tokenizer's model directly.
-Every id comes from the tokenizers library; the caches only save asking again.
+whole, and so do texts with the content of an added token. Units of plain characters are cut further, where letters, digits, punctuation and a single line's end meet.
+Every id comes from the tokenizers library; a bounded table only saves asking again.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from array import array
 
 import numpy as np
 
-#: Units and words kept by a worker, about 200 bytes each, and the longest kept.
-CACHE_UNITS, CACHE_WORDS, CACHE_HEADS, CACHE_CHARS = 600_000, 400_000, 50_000, 40
+from .segments import MOST_KEYS, SegmentTable, text_bytes
+
 _ODD = re.compile(r"\s (?:\s|\Z)")
-_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-_encoders: dict[tuple[str, bool], "UnitEncoder"] = {}
-
-
-def _byte_letters() -> dict[int, str]:
-    """The letter that stands for each byte: itself where it is visible in Latin-1, else the next one from 256 up."""
-    out, n = {}, 256
-    for b in range(256):
-        if 33 <= b <= 126 or 161 <= b <= 255 and b != 173:
-            out[b] = chr(b)
-        else:
-            out[b], n = chr(n), n + 1
+_encoders: dict[tuple[str, bool], "Encoder"] = {}
+SPACE, LETTER, DIGIT, SIGN, BLANK, OTHER = range(6)
+
+
+def _kinds() -> np.ndarray:
+    """What each byte is: OTHER for all that a unit isn't cut at. The bytes of U+00C0 to U+023F count as letters (times and division signs are looked for apart)."""
+    out = np.full(256, OTHER, np.uint8)
+    for members, kind in ((b" ", SPACE), (b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", LETTER), (b"0123456789", DIGIT), (b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~", SIGN), (b"\t\n\v\f\r", BLANK), (range(0x80, 0xC0), LETTER), (range(0xC3, 0xC9), LETTER)):
+        out[list(members)] = kind
     return out
 
 
-class UnitEncoder(dict):
-    """unit -> its ids as little-endian unsigned 32-bit integers, filled when asked."""
+_KIND = _kinds()
+
 
-    def __init__(self, path: str, literal: bool = True):
+class Encoder:
+    def __init__(self, path: str, literal: bool = True, most: int = MOST_KEYS):
         """literal: the content of an added token is text like any other; else it is that token, as at the library's defaults."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = literal
         self.added = [] if literal else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.model, self.letters, self.words, self.heads = self.tokenizer.model, _byte_letters(), {}, {}
-        self.space = self.letters[32]
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _pre_token(self, word: str, lead: str) -> bytes:
-        """Ids of a single pre-token: a word of letters led by a space, or punctuation with no lead."""
-        ids = self.words.get(lead + word)
-        if ids is None:
-            seen = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-            ids = array("I", [t.id for t in self.model.tokenize(lead + seen)]).tobytes()
-            if len(self.words) < CACHE_WORDS and len(word) <= CACHE_CHARS:
-                self.words[lead + word] = ids
-        return ids
-
-    def __missing__(self, unit: str) -> bytes:
-        word = unit.rstrip(_PUNCTUATION)
-        if not word.isalpha():
-            ids = self.whole(" " + unit)
-        elif len(word) == len(unit):
-            ids = self._pre_token(word, self.space)
-        else:
-            ids = self._pre_token(word, self.space) + self._pre_token(unit[len(word) :], "")
-        if len(unit) <= CACHE_CHARS and len(self) < CACHE_UNITS:
-            self[unit] = ids
-        return ids
-
-    def head(self, unit: str) -> bytes:
-        """Ids of a text's first unit, which no space leads."""
-        ids = self.heads.get(unit)
-        if ids is None:
-            ids = self.whole(unit) if unit else b""
-            if len(self.heads) < CACHE_HEADS and len(unit) <= CACHE_CHARS:
-                self.heads[unit] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        """The ids of a whole text, as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if _ODD.search(text) or any(a in text for a in self.added):
-            return self.whole(text)
-        first, *units = text.split(" ")
-        return self.head(first) + b"".join(map(self.__getitem__, units))
-
-
-def encoder(path: str, literal: bool = True) -> UnitEncoder:
+        self.table = SegmentTable(self.ask, most)
+
+    def ask(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _whole(self, column, data: np.ndarray, bounds: np.ndarray) -> list[int]:
+        """The texts that can't be cut: first those that might be by their bytes, then those that are."""
+        import pyarrow.compute as pc
+
+        blank = (data <= 32) | (data >= 0x7F)
+        (at,) = np.nonzero((data[1:] == 32) & blank[:-1])
+        at += 1
+        follows = np.append(blank, True)[at + 1] | np.isin(at + 1, bounds)
+        maybe = np.unique(np.searchsorted(bounds, at[follows], side="right") - 1)
+        out = {int(k) for k in maybe if _ODD.search(column[int(k)].as_py())}
+        for content in self.added:
+            out.update(np.nonzero(pc.match_substring(column, content).to_numpy(zero_copy_only=False))[0].tolist())
+        return sorted(out)
+
+    def segments(self, column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes of a column's texts, the bounds of the texts, and where segments begin that can be encoded by themselves."""
+        data, bounds = text_bytes(column)
+        n = len(data)
+        if not n:
+            return data, bounds, np.empty(0, np.int64)
+        kind = _KIND[data]
+        unit = kind == SPACE
+        unit[bounds[:-1][np.diff(bounds) > 0]] = True
+        begins = unit.copy()
+        begins[1:] |= (kind[1:] != kind[:-1]) & (kind[:-1] != SPACE)
+        odd = kind == OTHER
+        odd[1:] |= (kind[1:] == BLANK) & ((kind[:-1] == BLANK) | (kind[:-1] == SPACE))
+        odd[1:] |= (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))
+        (odd,) = np.nonzero(odd)
+        if len(odd):  # units with anything else stay whole
+            (starts,) = np.nonzero(unit)
+            held = np.zeros(len(starts) + 1, bool)
+            held[np.searchsorted(starts, odd, side="right") - 1] = True
+            (at,) = np.nonzero(begins)
+            begins[at[held[np.searchsorted(starts, at, side="right") - 1] & ~unit[at]]] = False
+        for k in self._whole(column, data, bounds):
+            begins[bounds[k] + 1 : bounds[k + 1]] = False
+        return data, bounds, np.nonzero(begins)[0]
+
+    def encode(self, column) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of an Arrow column's texts (null: empty), one after another, and the bounds of each text's (one more than there are)."""
+        import pyarrow.compute as pc
+
+        data, bounds, starts = self.segments(pc.fill_null(column, ""))
+        ids, counts = self.table.look_up(data, starts, np.diff(np.append(starts, len(data))))
+        return ids, np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(starts, bounds)]
+
+    def encode_with_end(self, column, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """As encode, with end_id after each text's ids."""
+        ids, bounds = self.encode(column)
+        return np.insert(ids, bounds[1:], np.uint32(end_id)), bounds + np.arange(len(bounds))
+
+
+def encoder(path: str, literal: bool = True) -> Encoder:
     """This process's encoder for a tokenizer file."""
     if (path, literal) not in _encoders:
-        _encoders[path, literal] = UnitEncoder(path, literal)
+        _encoders[path, literal] = Encoder(path, literal)
     return _encoders[path, literal]
 
 

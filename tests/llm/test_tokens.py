@@ -5,13 +5,14 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from llm_data import ROWS, documents, empty
 from strandworks.llm import common, packing, pieces, simple8b
-from strandworks.llm.token_ids import encoder, vocabulary
+from strandworks.llm.token_ids import Encoder, encoder, vocabulary
 
 
 @pytest.fixture(scope="module")
@@ -19,16 +20,32 @@ def bpe():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(vocabulary())
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
-def test_cached_ids_are_the_librarys(bpe):
-    random.seed(1)
-    parts = ["a", "The", " ", " ", " ", "  ", "\n", "\t", ".", ",", "'s", "'", "é", "Ä", "中", "9", "\x1c", " ", "!?", "<|endoftext|>"]
-    for _ in range(5000):
-        text = "".join(random.choice(parts) for _ in range(random.randint(0, 14)))
-        assert np.frombuffer(encoder(vocabulary()).encode(text), "<u4").tolist() == bpe(text), repr(text)
+def ids_of(enc, texts):
+    ids, bounds = enc.encode(pa.array(texts, pa.string()))
+    return [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])]
+
+
+def test_ids_are_the_librarys(bpe):
+    rng = random.Random(1)
+    parts = ["a", "The", " ", " ", " ", "  ", "\n", "\n\n", "\t", ".", ",", "'s", "'", "é", "Ä", "中", "9", "12", "\x1c", "\xa0", "!?", "×", "Ȁ", "ɐ", "\u3000", "\u2028", "x" * 40, "<|endoftext|>", "<|endoftext"]
+    few = Encoder(vocabulary(), literal=False, most=100)  # most segments are forgotten after their batch
+    for enc in (few, encoder(vocabulary(), literal=False)):
+        for _ in range(60):
+            texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) if rng.random() > 0.03 else None for _ in range(100)]
+            assert ids_of(enc, texts) == [bpe(t) for t in texts]
+    sliced = pa.array(["never", "a b", None, "c d"])[1:]
+    assert [x.tolist() for x in few.encode_with_end(sliced, 7)] == [[*bpe("a b"), 7, 7, *bpe("c d"), 7], [0, 3, 4, 7]]
+
+
+def test_every_character_is_cut_where_the_library_cuts(bpe):
+    enc = Encoder(vocabulary(), literal=False, most=50_000)
+    points = [c for c in range(1, 0x3400) if not 0xD800 <= c < 0xE000] + list(range(0x1F300, 0x1F400))
+    texts = [f"x{chr(c)}y a {chr(c)} {chr(c)}.{chr(c)}1 q{chr(c)}" for c in points]
+    for text, ids in zip(texts, ids_of(enc, texts)):
+        assert ids == bpe(text), repr(text)
 
 
 @settings(deadline=None, max_examples=150)
@@ -37,8 +54,9 @@ def test_simple8b_comes_back(tmp_path_factory, values, parts):
     path = str(tmp_path_factory.mktemp("s8b") / "x.ids")
     writer, ids = simple8b.Writer(path), np.array(values, np.uint64)
     cuts = np.array_split(ids, parts)
-    for k, part in enumerate(cuts):
-        writer.add(k, part)
+    for k in range(0, parts, 2):  # two documents at a time
+        two = cuts[k : k + 2]
+        writer.add(list(range(k, k + len(two))), np.concatenate(two), np.cumsum([0, *map(len, two)]))
     writer.close()
     reader = simple8b.Reader(path)
     for k, (doc, _, got) in enumerate(reader):
@@ -63,6 +81,14 @@ def test_token_files_in_order(spark, bpe):
     assert got == want
 
 
+def test_long_parts_go_on_in_new_files(spark):
+    docs = documents(spark)
+    short = simple8b.write_token_files(docs, vocabulary(), 2, common.work_dir(spark, "t"), file_docs=1)
+    one = simple8b.write_token_files(docs, vocabulary(), 2, common.work_dir(spark, "t"))
+    assert short.count() >= one.count()
+    assert sorted(map(str, simple8b.read_token_files(short).collect())) == sorted(map(str, simple8b.read_token_files(one).collect()))
+
+
 def test_no_documents_no_tokens(spark):
     manifest = simple8b.write_token_files(empty(spark), vocabulary(), 2, common.work_dir(spark, "t"))
     assert simple8b.read_token_files(manifest).count() == 0
@@ -130,11 +156,11 @@ def test_pieces_and_spans_are_the_librarys(coder):
     parts = ["a", "the", "b", " ", "  ", "\n", "é", "中", "▁", "\U0001f600", ".", "x", "<s>", "\t", "\x00", "ﬁ"]
     for _ in range(3000):
         text = "".join(random.choice(parts) for _ in range(random.randint(0, 12)))
-        ids, spans = coder.encode(text)
+        ids, spans = coder.aligned(text)
         said = coder.library.encode(text, return_type="proto")
         assert ids == coder.library.encode(text)
         assert spans == [(p.begin, p.end) for p in said.pieces], repr(text)
-        n, sha, decoded, covered = coder.digest(text, 2)
+        ((n,), (sha,), (decoded,), (covered,)) = coder.digest(pa.array([text]), 2)
         ids = coder.library.encode(text, add_eos=True)
         assert (n, sha) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
         assert decoded == hashlib.sha256(coder.library.decode(ids).encode()).hexdigest()
@@ -161,9 +187,23 @@ def test_compiled_maps_are_read_as_the_library_reads_them(rule):
         assert [*places, origin[-1]] == [len(text[:k].encode()) for k in offsets]
 
 
+def test_many_texts_at_once_are_the_librarys(coder):
+    rng = random.Random(6)
+    parts = ["a", "the", " ", " ", "  ", "\n", "é", "中", "▁", "\U0001f600", ".", "x" * 40, "<s>", "</s>", "<unk>", "<0x41>", "\t", "\x00", "\u3000"]
+    few = pieces.PieceCoder(vocabulary("piece_bpe_32k.model"), most=100)
+    for _ in range(60):
+        texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) if rng.random() > 0.03 else None for _ in range(100)]
+        ids, covered = few.encode(pa.array(texts, pa.string()))
+        assert ids == [coder.library.encode(t or "") for t in texts]
+        assert covered.tolist() == [len((t or "").encode()) for t in texts]
+
+
 def test_pieces_of_documents(spark, coder):
     got = pieces.digest_documents(documents(spark), vocabulary("piece_bpe_32k.model")).collect()
-    want = sorted((str(d), *coder.digest(t or "", 2)) for d, t, *_ in ROWS)
+    library = coder.library
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    ids = [(d, t or "", [*library.encode(t or ""), 2]) for d, t, *_ in ROWS]
+    want = sorted((str(d), len(i), sha(" ".join(map(str, i))), sha(library.decode(i)), len(t.encode())) for d, t, i in ids)
     assert sorted((str(r[0]), *r[1:]) for r in map(tuple, got)) == want
     spans = pieces.encode_documents(documents(spark), vocabulary("piece_bpe_32k.model")).where("doc_id = 13").first()
     assert spans["begins"][0] == 0 and spans["ends"][-1] == 3
