@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from pathlib import Path
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ NOT_SPACE = r"[^\x20\x09-\x0D]"
 
 #: Rows and bytes that a Python worker works on at once: texts may be long.
 BATCH_ROWS, BATCH_BYTES = 512, 2 << 20
+_folders: WeakKeyDictionary = WeakKeyDictionary()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,15 +50,18 @@ def short(batches, rows: int = BATCH_ROWS, most: int = BATCH_BYTES):
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, in full. In local mode one of our own where that is unset; on a cluster that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = Path(tempfile.mkdtemp(prefix="strandworks-")).as_uri()
         spark.sparkContext.setCheckpointDir(root)
-    return root
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
@@ -68,20 +73,50 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back: cuts lineage and survives lost executors."""
     path = work_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _folders[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the folders of stored tables that nothing will read again."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(_folders.pop(df))
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def filesystem(uri: str):
     """pyarrow's file system for a URI of the shared folder, and the path in it."""
     from pyarrow import fs
 
-    if "://" not in uri and not uri.startswith("file:"):
-        return fs.LocalFileSystem(), uri
     if uri.startswith("file:"):
         return fs.LocalFileSystem(), "/" + uri[len("file:") :].lstrip("/")
     return fs.FileSystem.from_uri(uri)
 
 
+def sampled(key: Column, share) -> Column:
+    """Whether a row belongs to a sample of the given share (a number or a Column), by 62 bits of a hash of its key: no table is so large that the share becomes none."""
+    bound = F.lit(sample_bound(share)) if isinstance(share, float) else share
+    return F.shiftrightunsigned(key, 2) < bound
+
+
+def sample_bound(share: float) -> int:
+    return max(1, int(min(1.0, share) * (1 << 62)))
+
+
+def with_salt(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, total: int, spread: Column) -> tuple[DataFrame, DataFrame]:
+    """rows and groups (distinct keys and how many rows have them) with a column salt for a join by keys and salt, in which no task gets a group of more than a thousandth of all rows.
+
+    Only groups of more rows than that are dealt out, into parts by their measured count. There are fewer than 1000 of them whatever the tables hold, so they are broadcast.
+    """
+    share = max(1, total // 1000)
+    hot = groups.where(F.col(count) > share).select(*keys, F.ceil(F.col(count) / F.lit(share)).cast("int").alias("salts"))
+    rows = rows.join(F.broadcast(hot), keys, "left")
+    rows = rows.withColumn("salt", F.when(F.col("salts") > 1, F.pmod(spread, F.col("salts"))).otherwise(0).cast("int")).drop("salts")
+    salts = F.when(F.col(count) > share, F.ceil(F.col(count) / F.lit(share)).cast("int") - 1).otherwise(0)
+    return rows, groups.withColumn("salt", F.explode(F.sequence(F.lit(0), salts)))
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once however often body mentions it."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -44,7 +44,8 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     for _ in range(MOST_ROUNDS):
         if not before[0]:
             break
-        links = common.stored(_to_smallest(_to_smallest(links, True), False), name)
+        old, links = links, common.stored(_to_smallest(_to_smallest(links, True), False), name)
+        common.discard(old)
         now = state(links)
         if now == before:
             break

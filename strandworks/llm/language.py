@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: At most about so many documents of each language are counted for its model.
-TRAIN_DOCS = 1500
+TRAIN_DOCS, TRAIN_TASKS = 1500, 8
 #: Entries of a table of hashed n-grams, the weights of orders 4 to 1, and what is left for bytes never seen.
 TABLE, WEIGHTS, UNSEEN = 1 << 16, (0.45, 0.3, 0.15, 0.099), 0.001 / 256
 #: Rounds of expectation-maximisation, and the penalty for a language more, times the logarithm of the number of words.
@@ -40,13 +40,15 @@ class Model:
     tables: list[np.ndarray]
 
 
-def spelled(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Lower-cased UTF-8 texts as one run of bytes, words apart by single spaces and a space before each text; and where each text begins."""
-    raw = _KEEP[np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)]
-    starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+def spelled(texts: list[bytes], apart: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Lower-cased UTF-8 texts as one run of bytes, words apart by single spaces and so many before each text; and where each text begins, with its spaces."""
+    gap = b" " * apart
+    raw = _KEEP[np.frombuffer(gap + gap.join(texts) + b" ", np.uint8)]
+    starts = np.cumsum([0, *(len(t) + apart for t in texts)])
     keep = np.ones(len(raw), bool)
     keep[1:] = (raw[1:] != 32) | (raw[:-1] != 32)
-    keep[starts] = True  # so that each text has a space of its own, in which it begins
+    for k in range(apart):
+        keep[starts[:-1] + k] = True
     return raw[keep], (np.cumsum(keep) - 1)[starts[:-1]]
 
 
@@ -71,7 +73,7 @@ def log_likelihoods(model: Model, data: np.ndarray) -> np.ndarray:
 
 def word_likelihoods(model: Model, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Log-likelihood of each word in each language, and how many words each text has."""
-    data, starts = spelled(texts)
+    data, starts = spelled(texts, 4)  # so that a text's first word doesn't hang on the text before
     padded = np.concatenate([np.full(3, 32, np.uint8), data])
     (spaces,) = np.nonzero(data == 32)
     begins = spaces[:-1] + 1 if len(spaces) else spaces  # a word begins after a space and ends with the next
@@ -82,6 +84,7 @@ def word_likelihoods(model: Model, texts: list[bytes]) -> tuple[np.ndarray, np.n
         stop = max(k + 1, int(np.searchsorted(begins, begins[k] + STRIDE)))
         a, b = begins[k], begins[stop] if stop < len(begins) else len(data)
         each = log_likelihoods(model, padded[a : b + 3])
+        each[np.nonzero((data[a + 1 : b] == 32) & (data[a : b - 1] == 32))[0] + 1] = 0  # only one space is part of a word
         parts.append(np.add.reduceat(each, begins[k:stop] - a, axis=0))
         k = stop
     return (np.concatenate(parts) if parts else np.empty((0, len(model.languages)), np.float32)), n
@@ -144,8 +147,8 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     languages = sorted(counts)
     if not languages:
         return Model([], [])
-    share = F.create_map(*(x for k in languages for x in (F.lit(k), F.lit(int(min(1.0, train_docs / counts[k]) * 1e6)))))
-    sample = usable.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < share[F.col("lang")]).select("lang", "text")
+    bounds = F.create_map(*(x for k in languages for x in (F.lit(k), F.lit(common.sample_bound(train_docs / counts[k])))))
+    sample = usable.where(common.sampled(F.xxhash64("doc_id", "text"), bounds[F.col("lang")])).select("lang", "text")
     sizes = (256, TABLE, TABLE, TABLE)
 
     def count(batches):
@@ -153,7 +156,7 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
         import pyarrow.compute as pc
 
         tables: dict[str, list[np.ndarray]] = {}
-        for batch in batches:
+        for batch in common.short(batches):
             lowered = pc.utf8_lower(batch.column(1)).to_pylist()
             for lang, text in zip(batch.column(0).to_pylist(), lowered):
                 data, _ = spelled([text.encode()])
@@ -163,10 +166,12 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
         for lang, own in tables.items():
             yield pa.RecordBatch.from_pydict({"lang": [lang], "counts": pa.array([np.concatenate(own).astype("<i4").tobytes()], pa.binary())})
 
-    # the sample is bounded, so a few tasks do
+    # the sample is bounded, so TRAIN_TASKS do, each of which sends the driver a table of fixed size for each language
     tables = {k: np.zeros(sum(sizes), np.float32) for k in languages}
-    for row in sample.repartition(8).mapInArrow(count, "lang string, counts binary").toLocalIterator():
+    for row in sample.repartition(TRAIN_TASKS).mapInArrow(count, "lang string, counts binary").toLocalIterator():
         tables[row["lang"]] += np.frombuffer(row["counts"], "<i4")
+    if lacking := [k for k in languages if not tables[k].any()]:
+        raise ValueError(f"no document of {lacking} was sampled")
     joined = np.stack([tables[k] for k in languages], axis=1)
     return Model(languages, np.split(joined, np.cumsum(sizes)[:-1]))
 
@@ -191,7 +196,10 @@ def predict(model: Model, column) -> tuple[list[str], list[float]]:
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred and score of every row. Repeated rows and null ids stay; an empty table gives no rows."""
+    """doc_id, lang_pred and score of every row, from its whole text however long. Of languages of equal share the first by name is predicted.
+
+    Repeated rows and null ids stay; null texts and those without a letter are und with score 0; an empty table gives no rows.
+    """
     spark = docs.sparkSession
     common.prepare(spark)
     shared = spark.sparkContext.broadcast(model)  # tables of fixed size for each language
@@ -199,7 +207,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in common.short(batches):
             names, shares = predict(shared.value, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(shares, pa.float64())], ["doc_id", "lang_pred", "score"])
 
@@ -215,7 +223,7 @@ def filter_documents(docs: DataFrame, model: Model, least_share: float = LEAST_S
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in common.short(batches):
             names, shares = predict(shared.value, batch.column(at))
             yield batch.filter(pa.array([(n != "und" and s >= least_share) or not shared.value.languages for n, s in zip(names, shares)], pa.bool_()))
 

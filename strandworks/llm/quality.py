@@ -1,6 +1,6 @@
 """Operator 2: quality rules as a short-circuit cascade, in DataFrame functions alone.
 
-Each rule is a Column that rejects. On a bounded sample each rule's cost (seconds a row) and selectivity (share rejected) are measured, and the cascade
+Each rule is a Column that rejects. On a bounded sample each rule's cost (seconds a row) and rejections beside other rules' are measured, and the cascade
 asks rules by rejection per cost, so most rejected documents never reach the dear ones. The order changes the cost of a verdict, never the verdict.
 """
 
@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from . import common
 from .common import let
 
-#: Rows on which costs and selectivities are measured.
-SAMPLE_ROWS = 2000
+#: Rows on which costs and rejections are measured, how often each rule is timed, and the seed of the sample.
+SAMPLE_ROWS, RUNS, SEED = 4000, 3, 11
 #: Fixed bounds of the rules, in hundredths.
 LEAST_WORDS, REPEATED, SYMBOLS, CAPITALS, DUPLICATE_LINES, WORDLIKE = 50, 50, 25, 50, 40, 50
 SHORTEST_MEAN, LONGEST_MEAN = 200, 1500
@@ -96,35 +96,52 @@ def verdict_rules(text: Column) -> list[Rule]:
     return [Rule("symbols", n_symbols(text) * 100 > n_words * SYMBOLS), Rule("capitals", capitals), Rule("duplicate_lines", lines), Rule("word_length", mean), Rule("wordlike", wordlike)]
 
 
-def base_rules(text: Column) -> list[Rule]:
+def base_rules(text: Column, least_words: int = LEAST_WORDS) -> list[Rule]:
     words = common.words(text)
-    few = F.regexp_count(_text(text), F.lit(common.NOT_SPACE + "+")) < LEAST_WORDS
+    few = F.regexp_count(_text(text), F.lit(common.NOT_SPACE + "+")) < least_words
     return [Rule("few_words", few), Rule("repeated_words", let(words, lambda w: repeated_words(w) * 100 > F.size(w) * REPEATED))]
 
 
-def measure(docs: DataFrame, rules: list[Rule], rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
-    """(rule, seconds a row, share rejected) of each rule, each run by itself over the same sample of about so many rows."""
+@dataclass(frozen=True)
+class Measured:
+    """What a sample says of rules: seconds a row of each, and how many rows each set of rules rejects (bit k: the k-th rule)."""
+
+    rules: list[Rule]
+    costs: list[float]
+    sets: dict[int, int]
+
+    def ordered(self) -> list[Rule]:
+        """Rules by rejection per cost, highest first, the rejection being that of rows which no earlier rule has rejected; cost and then name settle ties."""
+        left, open_, out = dict(self.sets), list(range(len(self.rules))), []
+        while open_:
+            hits = {k: sum(n for bits, n in left.items() if bits >> k & 1) for k in open_}
+            best = min(open_, key=lambda k: (-hits[k] / self.costs[k], self.costs[k], self.rules[k].name))
+            out.append(self.rules[best])
+            open_.remove(best)
+            left = {bits: n for bits, n in left.items() if not bits >> best & 1}
+        return out
+
+
+def measure(docs: DataFrame, rules: list[Rule], rows: int = SAMPLE_ROWS) -> Measured:
+    """Costs and rejections over one sample of about so many rows: each rule is run by itself RUNS times, of which the fastest counts, less that of a run without a rule."""
     n = docs.count()
-    sample = common.stored(docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(max(1, n // rows))) == 0).limit(2 * rows), "rule-sample").coalesce(1)
-
-    def run(rejects: Column) -> tuple[float, int, int]:
-        began = time.perf_counter()
-        hit, total = sample.agg(F.count_if(rejects), F.count("*")).first()
-        return time.perf_counter() - began, hit, total
-
-    idle = F.length("text") < 0
-    run(idle)
-    floor = run(idle)[0]
-    out = []
-    for rule in rules:
-        seconds, hit, total = run(rule.rejects)
-        out.append((rule, max(seconds - floor, 1e-4) / max(total, 1), hit / max(total, 1)))
-    return out
+    sample = common.stored(docs.select("text").sample(min(1.0, rows / max(n, 1)), SEED).limit(2 * rows), "rule-sample")
+    one = sample.coalesce(1)
+    masks = sum((F.coalesce(r.rejects, F.lit(False)).cast("int") * (1 << k) for k, r in enumerate(rules)), F.lit(0))
+    sets = {r["bits"]: r["count"] for r in sample.groupBy(masks.alias("bits")).count().collect()}  # a row for each set of rules at most
 
+    def seconds(rejects: Column) -> float:
+        took = []
+        for _ in range(RUNS):
+            began = time.perf_counter()
+            one.agg(F.count_if(rejects)).first()
+            took.append(time.perf_counter() - began)
+        return min(took)
 
-def ordered(measured: list[tuple[Rule, float, float]]) -> list[Rule]:
-    """Rules by rejection per cost, highest first; names settle ties."""
-    return [r for r, _, _ in sorted(measured, key=lambda x: (-x[2] / x[1], x[1], x[0].name))]
+    idle = seconds(F.length("text") < 0)
+    costs = [max(seconds(r.rejects) - idle, 1e-4) / max(sum(sets.values()), 1) for r in rules]
+    common.discard(sample)
+    return Measured(rules, costs, sets)
 
 
 def cascade(rules: list[Rule]) -> Column:
@@ -135,14 +152,14 @@ def cascade(rules: list[Rule]) -> Column:
     return F.lit(None).cast("string") if out is None else out
 
 
-def filter_documents(docs: DataFrame) -> DataFrame:
-    """The rows that no rule rejects, base rules included, with all their columns. A null text has no word and goes."""
-    return docs.where(cascade(ordered(measure(docs, base_rules(F.col("text")) + verdict_rules(F.col("text"))))).isNull())
+def filter_documents(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """The rows that no rule rejects, base rules with least_words included, with all their columns. A null text has no word and goes, unless least_words is 0."""
+    return docs.where(cascade(measure(docs, base_rules(F.col("text"), least_words) + verdict_rules(F.col("text"))).ordered()).isNull())
 
 
 def judge_documents(docs: DataFrame) -> DataFrame:
     """doc_id, the base features, base_failed and kept of every row; repeated rows, null ids and null texts keep a row each."""
-    rules = ordered(measure(docs, verdict_rules(F.col("text"))))
+    rules = measure(docs, verdict_rules(F.col("text"))).ordered()
     failed = (F.col("f.n_words") < LEAST_WORDS) | (100 * F.col("f.n_repeat_words") > REPEATED * F.col("f.n_words"))
     judged = docs.select("doc_id", "text", base_features(F.col("text")).alias("f"))
     return judged.select("doc_id", "f.n_words", "f.word_chars", "f.n_symbols", "f.n_dup_lines", "f.n_repeat_words", failed.alias("base_failed"), F.when(failed, F.lit(False)).otherwise(cascade(rules).isNull()).alias("kept"))

@@ -2,7 +2,10 @@
 
 The patterns find assignments, access keys and runs of hex digits. The field tags tokens as the beginning, the inside or the outside of a secret. A token's score is a sum of
 table entries: its shape, how it is set off, its word, the words and shapes beside it, and features of the whole file. Lines are its sequences. It is
-trained by likelihood on windows of a bounded sample, tagged by the patterns, and decoded by Viterbi; what it finds beside the patterns' spans is added to them.
+trained by likelihood on windows of a bounded sample and decoded by Viterbi; what it finds beside the patterns' spans is added to them.
+
+Training doesn't stop at what the patterns know: into lines of the sampled texts, made-up secrets that mostly no pattern matches are put behind cues or bare, and
+ordinary things (words, numbers, dates, versions, paths, addresses) behind the same cues, tagged as outside. Windows with and without secrets are taken in equal numbers at most.
 
 Decoding skips, exactly, tokens whose outside score leads by more than transitions could ever make up: any best path is outside there, so the stretches between are independent.
 """
@@ -25,15 +28,17 @@ ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 LEAST_ASSIGN, LEAST_ACCESS = 12, 18
-#: Bounds of training: documents sampled, windows taken, tokens of a window, windows of each sort taken from a document.
-TRAIN_DOCS, TRAIN_WINDOWS, SPAN, EACH = 20_000, 12_000, 15, 3
-EPOCHS, BATCH, RATE, DECAY = 8, 128, 0.08, 2e-4
+#: Bounds of training: documents sampled, windows taken with secrets and as many without, tokens of a window, windows of each sort taken from anywhere in a document, and secrets put into lines of it.
+TRAIN_DOCS, TRAIN_WINDOWS, SPAN, EACH, STAGED = 3_000, 8_000, 15, 3, 8
+#: What made-up secrets and ordinary things follow in training, and how made-up secrets begin.
+CUES = ("", "", "", "key ", "key: ", "api key ", "credential = ", "token is ", "token ", "pwd=", "auth: ", "bearer ", "login with ", "secret ", "use ", "id: ")
+PREFIXES = ("", "", "", "sk_", "pk-", "key-")
+DIGITS, SMALL = "0123456789", "abcdefghijklmnopqrstuvwxyz"
+EPOCHS, BATCH, RATE, DECAY = 8, 128, 0.3, 1e-5
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
 WORDS = 1 << 12
 #: Entries of the tables: shape, setting, word, word before, shape before, shape after, file.
 SIZES = (3072, 16, WORDS, WORDS, 3072, 3072, 32)
-#: A span is only added if it has so many characters.
-LEAST_ADDED = 12
 MASK = "[SECRET]"
 
 
@@ -95,8 +100,10 @@ def tokens(texts: list[bytes]) -> Tokens:
     mixed = (lowered + np.uint64(1)) * ((place * np.uint64(2) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
     word = (each(mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(52)).astype(np.int32) % WORDS
     # what sets a token off from the one before: an assignment's sign, a quote, the end of a line, and a quote after it
-    between = lambda mask: np.add.reduceat(mask.astype(np.int32), np.append(0, ends[:-1]))
-    gap_only = lambda mask: between(mask & (kind == 0))
+    def gap_only(mask: np.ndarray) -> np.ndarray:
+        total = np.append(0, np.cumsum(mask))
+        return total[begins] - total[np.append(0, ends[:-1])]
+
     opens = gap_only(data == 10) > 0
     quote = (data == 34) | (data == 39)
     setting = (gap_only((data == 61) | (data == 58)) > 0) * 8 + (quote[begins - 1]) * 4 + opens * 2 + quote[np.minimum(ends, len(data) - 1)]
@@ -210,56 +217,121 @@ def fit(entries: np.ndarray, tags: np.ndarray, seed: int = 5) -> Field:
     return field
 
 
-def _windows(text: str) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Training windows of a text (entries, tags): around secrets, around other tokens with figures or of some length, and one by its length."""
-    toks = tokens([text.encode()])
-    n = len(toks.begins)
-    if not n:
-        return []
-    tags = np.zeros(n, np.int64)
-    for _, _, end, start in base_spans(text):
-        a, b = (len(text[:x].encode()) + 1 for x in (start, end))
-        own = np.nonzero((toks.ends > a) & (toks.begins < b))[0]
+def made_up(rng: np.random.Generator) -> str:
+    """A secret of 10 to 44 characters, with figures, from letters and figures of one case or both, at times with signs."""
+    letters = [SMALL, SMALL.upper(), SMALL + SMALL.upper(), SMALL + SMALL.upper(), "ABCDEF"][rng.integers(5)]
+    signs = "+/_-" if rng.random() < 0.2 else ""
+    body = list(rng.choice(list(letters + DIGITS * int(rng.integers(1, 4)) + signs), rng.integers(10, 45)))
+    for at in (0, -1):
+        body[at] = rng.choice(list(letters + DIGITS))
+    body[rng.integers(1, len(body) - 1)] = rng.choice(list(DIGITS))
+    return PREFIXES[rng.integers(len(PREFIXES))] + "".join(body)
+
+
+def ordinary(rng: np.random.Generator, words: list[str]) -> str:
+    """Something that isn't secret, made of a text's words and small figures."""
+    word = lambda: words[rng.integers(len(words))]
+    n = lambda most: str(rng.integers(most))
+    forms = (
+        word, word, word, word, lambda: word().upper(), lambda: word().title(), lambda: f"{word()}-{word()}", lambda: f"{word()}_{word()}", lambda: word() + word().title(), lambda: word() + n(100),
+        lambda: n(10 ** int(rng.integers(1, 13))), lambda: f"{n(20)}.{n(20)}.{n(9)}", lambda: f"20{rng.integers(10, 40)}-{rng.integers(10, 13)}-{rng.integers(10, 29)}", lambda: f"{rng.integers(10, 24)}:{rng.integers(10, 60)}",
+        lambda: f"{word()}/{word()}.{word()}", lambda: f"{word()}.{n(100)}@mail{n(9)}.example.com", lambda: f"www.{word()}.com/{word()}/{n(1000)}", lambda: f"+{n(90)} ({n(900)}) {n(900)}-{n(9000)}",
+    )
+    return forms[rng.integers(len(forms))]()
+
+
+def staged(text: str, rng: np.random.Generator) -> tuple[str, list[tuple[int, int]], list[int]]:
+    """Lines with something put in: the lines, (begin, end) of the secrets put in, and where anything is put in; every other thing is a secret."""
+    words = [w for w in text.split() if w.isalpha()]
+    lines, spans, places, size = [], [], [], 0
+    for k in range(2 * STAGED if words else 0):
+        at = int(rng.integers(len(text) + 1))
+        before, after = text[max(0, at - 60) : at].rpartition("\n")[2].rpartition(" ")[0], text[at : at + 60].partition("\n")[0].partition(" ")[2]
+        quote = ("", "", '"', "'")[rng.integers(4)]
+        head = (before + " " if before else "") + CUES[rng.integers(len(CUES))] + quote
+        value = ordinary(rng, words) if k % 2 else made_up(rng)
+        lines.append(head + value + quote + ("", "", ".", ",")[rng.integers(4)] + (" " + after if after else ""))
+        places.append(size + len(head))
+        if k % 2 == 0:
+            spans.append((places[-1], places[-1] + len(value)))
+        size += len(lines[-1]) + 1
+    return "\n".join(lines), spans, places
+
+
+def _places(raw: np.ndarray) -> np.ndarray:
+    """Where each code point of UTF-8 bytes begins, and their end."""
+    return np.append(np.nonzero((raw & 0xC0) != 0x80)[0], len(raw))
+
+
+def _tagged(text: str, spans: list[tuple[int, int]]) -> tuple[Tokens, np.ndarray, np.ndarray]:
+    """The tokens of a text, their tags for secrets at the given code points, and where its code points begin."""
+    raw = text.encode()
+    toks, places = tokens([raw]), _places(np.frombuffer(raw, np.uint8))
+    tags = np.zeros(len(toks.begins), np.int64)
+    for start, end in spans:
+        a, b = np.searchsorted(toks.ends, places[start] + 1, side="right"), np.searchsorted(toks.begins, places[end] + 1)  # tokens count from a byte before the text
+        own = np.arange(a, b)
         fresh = own[tags[own] == OUTSIDE]
         tags[fresh] = INSIDE
-        if len(fresh) and fresh[0] == own[0]:
-            tags[own[0]] = BEGIN
-    found = np.nonzero(tags == BEGIN)[0][:EACH]
-    odd = np.nonzero((tags == OUTSIDE) & ((toks.entries[0] // 48 % 4 > 0) | (toks.ends - toks.begins > 15)))[0][:EACH]
-    plain = [len(text) * 7919 % n]
+        if len(fresh) and fresh[0] == a:
+            tags[a] = BEGIN
+    return toks, tags, places
+
+
+def _windows(text: str, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Training windows (entries, tags): around secrets, other tokens with figures or of some length, and any token of a text, from all over it; and around what is staged."""
+    rng = np.random.default_rng(seed)
+    toks, tags, _ = _tagged(text, [(start, end) for _, _, end, start in base_spans(text)])
+    if not len(tags):
+        return []
+    some = lambda at: rng.choice(at, min(EACH, len(at)), replace=False).tolist()
+    odd = (tags == OUTSIDE) & ((toks.entries[0] // 48 % 4 > 0) | (toks.ends - toks.begins > 15))
     out = []
-    for centre in [*found, *odd, *plain]:
-        a = max(0, int(centre) - SPAN // 2)
-        lines = np.cumsum(toks.opens[a : a + SPAN])
-        same = np.nonzero(lines == lines[min(int(centre) - a, len(lines) - 1)])[0] + a
-        out.append((toks.entries[:, same], tags[same]))
+
+    def cut(entries: np.ndarray, opens: np.ndarray, tags: np.ndarray, centre: int) -> None:
+        a = max(0, centre - int(rng.integers(SPAN)))
+        lines = np.cumsum(opens[a : a + SPAN])
+        same = np.nonzero(lines == lines[centre - a])[0] + a
+        out.append((entries[:, same], tags[same]))
+
+    for centre in [*some(np.nonzero(tags == BEGIN)[0]), *some(np.nonzero(odd)[0]), *some(np.arange(len(tags)))]:
+        cut(toks.entries, toks.opens, tags, centre)
+    lines, spans, at = staged(text, rng)
+    own, marks, places = _tagged(lines, spans)
+    if len(marks):
+        own.entries[6] = toks.entries[6, 0]  # they stand in the file that they are put into
+        for centre in np.searchsorted(own.ends, places[at] + 1, side="right").clip(0, len(marks) - 1).tolist():
+            cut(own.entries, own.opens, marks, centre)
     return out
 
 
-def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Field:
-    """Fits on windows of a bounded sample of documents, tagged by the patterns. An empty table gives a field that adds nothing."""
+def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_windows: int = TRAIN_WINDOWS) -> Field:
+    """Fits on windows of a bounded sample of documents. An empty table, or one without a token, gives a field that adds nothing."""
     common.prepare(docs.sparkSession)
-    usable = docs.where("text is not null").select("text")
+    usable = docs.where("text is not null").select("text", F.xxhash64(*[c for c in ("doc_id", "text") if c in docs.columns]).alias("key"))
     n = usable.count()
-    sample = usable.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(min(1.0, train_docs / max(n, 1)) * 1e6))
+    sample = usable.where(common.sampled(F.col("key"), train_docs / max(n, 1)))
 
     def cut(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in common.short(batches):
             out = []
-            for text in batch.column(0).to_pylist():
-                for entries, tags in _windows(text):
-                    out.append((hashlib.md5(text.encode()[:4096]).hexdigest(), np.ascontiguousarray(entries, np.int32).tobytes(), tags.astype(np.int8).tobytes(), bool(tags.any())))
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate((pa.string(), pa.binary(), pa.binary(), pa.bool_()))], ["key", "entries", "tags", "secret"])
-
-    # a bounded number of windows of bounded size; those with secrets first
-    got = sample.mapInArrow(cut, "key string, entries binary, tags binary, secret boolean").distinct().orderBy(F.desc("secret"), "key", "entries").limit(TRAIN_WINDOWS).collect()
+            for text, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                out += [(np.ascontiguousarray(entries, np.int16).tobytes(), tags.astype(np.int8).tobytes(), bool(tags.any())) for entries, tags in _windows(text, key & 0xFFFFFFFF)]
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate((pa.binary(), pa.binary(), pa.bool_()))], ["entries", "tags", "secret"])
+
+    # a bounded number of windows of bounded size
+    windows = common.stored(sample.mapInArrow(cut, "entries binary, tags binary, secret boolean").distinct(), "windows")
+    got = [r for secret in (True, False) for r in windows.where(F.col("secret") == secret).orderBy(F.xxhash64("entries", "tags"), "entries", "tags").limit(train_windows).collect()]
+    common.discard(windows)
+    if n and not got and docs.where(F.col("text").rlike("[A-Za-z0-9]")).limit(1).count() and n > train_docs:
+        raise ValueError("no window was sampled")
     entries, tags = np.full((len(got), 7, SPAN), -1, np.int32), np.zeros((len(got), SPAN), np.int64)
     for k, row in enumerate(got):
         y = np.frombuffer(row["tags"], np.int8)
         tags[k, : len(y)] = y
-        entries[k, :, : len(y)] = np.frombuffer(row["entries"], np.int32).reshape(7, len(y))
+        entries[k, :, : len(y)] = np.frombuffer(row["entries"], np.int16).reshape(7, len(y))
     return fit(entries, tags)
 
 
@@ -276,33 +348,32 @@ def find(field: Field | None, texts: list[str]) -> list[list[tuple[int, int, int
         return out
     head = (tags[secret] == BEGIN) | (np.diff(secret, prepend=-2) > 1) | toks.opens[secret]
     bounds = np.cumsum([1, *(len(t) + 1 for t in raw)])
+    points = np.cumsum((np.frombuffer(b"\n".join([b"", *raw, b""]), np.uint8) & 0xC0) != 0x80)  # code points up to and with each byte
     firsts = np.nonzero(head)[0]
-    for a, b in zip(firsts, np.append(firsts[1:], len(secret))):
-        k = int(toks.text[secret[a]])
-        start, end = (len(raw[k][: int(x) - int(bounds[k])].decode(errors="ignore")) for x in (toks.begins[secret[a]], toks.ends[secret[b - 1]]))
-        if end - start >= LEAST_ADDED and not any(s < end and start < e for s, _, e in out[k]):
-            out[k].append((start, 3, end))
-    return [sorted(s) for s in out]
+    a, b = secret[firsts], secret[np.append(firsts[1:], len(secret)) - 1]
+    text = toks.text[a]
+    start, end = (points[x - 1] - points[bounds[text] - 1] for x in (toks.begins[a], toks.ends[b]))
+    for k in np.unique(text):
+        own, base = np.nonzero(text == k)[0] if len(texts) > 1 else slice(None), out[k]
+        s, e = start[own], end[own]
+        if base:  # those that no pattern's span overlaps: of the spans that begin before the end, none ends after the start
+            before = np.searchsorted([x[0] for x in base], e)
+            reach = np.append(np.maximum.accumulate([x[2] for x in base]), -1)[before - 1]
+            clear = (before == 0) | (reach <= s)
+            s, e = s[clear], e[clear]
+        out[k] = sorted([*base, *((int(x), 3, int(y)) for x, y in zip(s, e))])
+    return out
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def _by_stride(field, texts, most: int = 1 << 21):
-    """Spans of texts, a stretch of them at a time."""
-    chunk, size = [], 0
-    for t in texts:
-        chunk.append(t)
-        size += len(t)
-        if size > most:
-            yield from find(field, chunk)
-            chunk, size = [], 0
-    yield from find(field, chunk)
-
-
 def scan(docs: DataFrame, field: Field) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every row. Null text: empty. Repeated rows and null ids stay."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every row, from its whole text however long. Null text: empty. Repeated rows and null ids stay.
+
+    Of equally good tag sequences the one whose tags come first (outside, begin, inside) is taken.
+    """
     spark = docs.sparkSession
     common.prepare(spark)
     shared = spark.sparkContext.broadcast(field)  # of fixed size
@@ -311,8 +382,8 @@ def scan(docs: DataFrame, field: Field) -> DataFrame:
         import pyarrow as pa
 
         names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
-        for batch in batches:
-            spans = list(_by_stride(shared.value, [t or "" for t in batch.column(1).to_pylist()]))
+        for batch in common.short(batches):
+            spans = find(shared.value, [t or "" for t in batch.column(1).to_pylist()])
             counts = [pa.array([sum(s[1] == k for s in x) for x in spans], pa.int64()) for k in range(3)]
             base = pa.array([hashlib.sha256(joined([s for s in x if s[1] < 3]).encode()).hexdigest() for x in spans], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), *counts, base, pa.array(map(joined, spans), pa.string())], names)
@@ -339,9 +410,9 @@ def mask_documents(docs: DataFrame, field: Field) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in common.short(batches):
             texts = batch.column(at).to_pylist()
-            new = [None if t is None else masked(t, s) for t, s in zip(texts, _by_stride(shared.value, [t or "" for t in texts]))]
+            new = [None if t is None else masked(t, s) for t, s in zip(texts, find(shared.value, [t or "" for t in texts]))]
             yield batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
 
     out = docs.mapInArrow(run, docs.schema)

@@ -7,7 +7,8 @@ home of either lies within 1 + 1 = 2 bits of the other. So every distinct finger
 compared at each anchor with the fingerprints at home there. No link of at most 3 bits is missed.
 
 Comparison runs over rows sorted by anchor, in blocks, and gives only the links of a spanning forest of each anchor's fingerprints, never all pairs.
-Anchors with more fingerprints than BLOCK are dealt out as pairs of blocks.
+Anchors with more fingerprints than BLOCK are dealt out as pairs of blocks. A half has 2^26 anchors and a fingerprint 16 places, so up to some 10^10 distinct fingerprints an
+anchor is a block or less and work grows with the fingerprints; beyond, it grows with their square over 2^26, as it must for any code of 31 bits, and results stay whole.
 """
 
 from __future__ import annotations
@@ -22,8 +23,6 @@ from .components import connected_components
 SEED, SHINGLE, DIFFER = 42, 3, 3
 #: Fingerprints of an anchor that are compared in one go; more are dealt out by pairs of blocks of this many.
 BLOCK = 4096
-#: Parts into which the rows of each fingerprint are dealt when documents get their component.
-SALTS = 16
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -58,7 +57,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in common.short(batches):
             fps = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
@@ -158,9 +157,8 @@ def links(distinct: DataFrame) -> DataFrame:
             if out:
                 yield batch_of(out)
 
-    spark = distinct.sparkSession
     replicas = common.stored(distinct.mapInArrow(replicate, "anchor long, home boolean, fp long, node long"), "replicas")
-    # the few anchors with more than a block; a bounded list for any corpus: each stands for over BLOCK rows
+    # anchors with more than a block
     hot = replicas.groupBy("anchor").count().where(F.col("count") > BLOCK)
     hot = common.stored(hot.withColumn("blocks", F.ceil(F.col("count") / F.lit(BLOCK))), "hot-anchors")
     if hot.isEmpty():
@@ -170,28 +168,25 @@ def links(distinct: DataFrame) -> DataFrame:
         block = F.pmod(F.xxhash64("fp"), F.col("blocks"))
         pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.xxhash64("anchor", F.least(k, F.col("block")), F.greatest(k, F.col("block"))))
         dealt = cold.select("group", "home", "fp", "node").unionByName(replicas.join(hot.select("anchor", "blocks"), "anchor").withColumn("block", block).withColumn("group", F.explode(pair)).select("group", "home", "fp", "node"))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     return dealt.select("group", "home", "fp", "node").repartition("group").sortWithinPartitions("group").mapInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id that links reach) of every row of documents.
 
-    Links: at most 3 differing bits; texts without a word have fingerprint 0 and link like any other. Null text: no word. Rows with a null id get the component of
-    their fingerprint's other rows, null if there are none. Rows that share an id count as one document. An empty table gives no rows; other columns don't matter.
+    Links: at most 3 differing bits; texts without a word have fingerprint 0 and link like any other. Null text: no word; long texts count whole. Rows that share an id
+    are not linked by that. Rows with a null id link like others; the component is null if none of its rows has an id. An empty table gives no rows; other columns don't matter.
     """
     fps = common.stored(fingerprints(docs), "fingerprints")
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("node")).where("node is not null")
-    distinct = common.stored(distinct, "distinct-fingerprints")
-    edges = links(distinct)
-    # an id with several texts links their fingerprints
-    several = fps.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("low"), F.max("fp").alias("high"), F.count("*").alias("n")).where("n > 1 and low != high").select("doc_id")
-    own = fps.join(several, "doc_id").join(distinct, "fp").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    components = connected_components(edges.union(own), "near-duplicates")
-    labelled = distinct.join(components, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    # a fingerprint may have a third of all rows: both sides are dealt by a salt too
-    salted = labelled.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    out = fps.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["fp", "salt"], "left")
+    distinct = common.stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct-fingerprints")
+    components = common.stored(connected_components(links(distinct.select("fp", F.col("fp").alias("node"))), "near-duplicates"), "components")
+    # few fingerprints have a link; those that have none are components by themselves
+    linked = distinct.join(components, distinct["fp"] == components["node"]).select("fp", "least", "component")
+    least = linked.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = linked.join(least, "component").select("fp", "component_id")
+    labelled = distinct.join(named, "fp", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id"))
+    rows, labelled = common.with_salt(fps, common.stored(labelled, "labelled"), ["fp"], "n", fps.count(), F.xxhash64("doc_id"))
+    out = rows.join(labelled.drop("n"), ["fp", "salt"])
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 

@@ -24,8 +24,6 @@ from . import common
 
 #: Bytes of a block from which it is segmented, and of a chunk of the HTTP framing.
 SEGMENT, CHUNK = 16_384, 4_096
-#: Parts into which rows of one digest are dealt when copies learn what they refer to.
-SALTS = 16
 DATE = "2020-01-01T00:00:00Z"
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
@@ -157,12 +155,11 @@ def with_refers_to(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """page_id, url, html and refers_to: for payloads of at least least_bytes that are equal, the largest page_id, on all rows but that."""
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     keyed = pages.select("page_id", "url", "html", F.sha1(payload).alias("sha"), F.length(payload).alias("bytes"))
-    groups = keyed.where(F.col("bytes") >= least_bytes).groupBy("sha", "bytes").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n")
-    # a payload may have a third of all rows: both sides are dealt by a salt too
-    groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = keyed.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    counted = keyed.where(F.col("bytes") >= least_bytes).groupBy("sha", "bytes").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
+    groups = common.stored(counted, "payload-groups")
+    rows, dealt = common.with_salt(keyed, groups, ["sha", "bytes"], "n", pages.count(), F.xxhash64("page_id", "url"))
     other = F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))
-    return salted.join(groups, ["sha", "bytes", "salt"], "left").select("page_id", "url", "html", other.alias("refers_to"))
+    return rows.join(dealt.drop("n"), ["sha", "bytes", "salt"], "left").select("page_id", "url", "html", other.alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, folder: str, segment: int = SEGMENT) -> DataFrame:
@@ -175,7 +172,7 @@ def write_archives(pages: DataFrame, folder: str, segment: int = SEGMENT) -> Dat
 
         fs, path = common.filesystem(folder)
         out, n, name = None, 0, f"{uuid.uuid4().hex}.warc.gz"
-        for batch in batches:
+        for batch in common.short(batches):
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if out is None:
                     fs.create_dir(path, recursive=True)
@@ -192,58 +189,63 @@ def write_archives(pages: DataFrame, folder: str, segment: int = SEGMENT) -> Dat
 
 
 def read_archives(manifest: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type and refers_to of every page in the archives, segmented ones put together."""
+    """page_id, payload_bytes, payload_digest, record_type and refers_to of every page in the archives, segmented ones put together.
+
+    Archives are read once: whole records are described and segments passed on, as rows of one table.
+    """
     import pyarrow as pa
 
     common.prepare(manifest.sparkSession)
-    files = manifest.select("uri").repartition(max(1, manifest.count()))
-    names = [x.split()[0] for x in RECORD.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+    segment = "origin string, number int, total long, digest string, block binary"
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
+
+    def batched(rows, schema, most=256):
+        names, types = zip(*((n, kinds[k]) for n, k in (x.split() for x in schema.split(", "))))
+
+        def batch(chunk):
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*chunk), types)], list(names))
 
-    def batched(rows, kinds, names, most=512):
         chunk = []
         for row in rows:
             chunk.append(row)
             if len(chunk) == most:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*chunk), kinds)], names)
+                yield batch(chunk)
                 chunk = []
         if chunk:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*chunk), kinds)], names)
-
-    def records(batches):
-        for batch in batches:
-            for uri in batch.column(0).to_pylist():
-                fs, path = common.filesystem(uri)
-                with fs.open_input_stream(path, compression=None) as stream:
-                    yield from parse(stream)
+            yield batch(chunk)
 
-    def whole(batches):
-        yield from batched((described(h, b) for h, b in records(batches) if "warc-segment-number" not in h), kinds, names)
-
-    def segments(batches):
+    def read(batches):
         def rows():
-            for h, b in records(batches):
-                if "warc-segment-number" in h:
-                    total = h.get("warc-segment-total-length")
-                    yield h.get("warc-segment-origin-id", h["warc-record-id"]), int(h["warc-segment-number"]), total and int(total), h.get("warc-payload-digest"), b
-
-        yield from batched(rows(), [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.binary()], ["origin", "number", "total", "digest", "block"])
+            for batch in batches:
+                for uri in batch.column(0).to_pylist():
+                    fs, path = common.filesystem(uri)
+                    with fs.open_input_stream(path, compression=None) as stream:
+                        for h, b in parse(stream):
+                            if "warc-segment-number" in h:
+                                total = h.get("warc-segment-total-length")
+                                yield *[None] * 5, h.get("warc-segment-origin-id", h["warc-record-id"]), int(h["warc-segment-number"]), total and int(total), h.get("warc-payload-digest"), b
+                            else:
+                                yield *described(h, b), *[None] * 5
+
+        yield from batched(rows(), f"{RECORD}, {segment}")
 
     def join(batches):
         def rows():
-            for batch in batches:
+            for batch in common.short(batches):
                 for origin, copies, digest, parts in zip(*(c.to_pylist() for c in batch.columns)):
                     block = reassemble([(p["number"], p["total"], p["block"]) for p in parts])
                     for _ in range(copies):
                         yield described({"warc-type": "response", "warc-record-id": origin, "warc-payload-digest": digest}, block)
 
-        yield from batched(rows(), kinds, names)
+        yield from batched(rows(), RECORD)
 
-    parts = files.mapInArrow(segments, "origin string, number int, total long, digest string, block binary")
+    files = manifest.select("uri").repartition(max(1, manifest.count()))
+    records = common.stored(files.mapInArrow(read, f"{RECORD}, {segment}"), "warc-records")
     # rows that repeat a page repeat its segments too: one of each is enough, and the first says how often
-    each = parts.groupBy("origin", "number").agg(F.count("*").alias("copies"), F.first("total").alias("total"), F.first("digest").alias("digest"), F.first("block").alias("block"))
+    each = records.where("number is not null").groupBy("origin", "number").agg(F.count("*").alias("copies"), F.first("total").alias("total"), F.first("digest").alias("digest"), F.first("block").alias("block"))
     grouped = each.groupBy("origin").agg(F.max(F.when(F.col("number") == 1, F.col("copies"))).alias("copies"), F.max("digest").alias("digest"), F.collect_list(F.struct("number", "total", "block")).alias("parts"))
-    return files.mapInArrow(whole, RECORD).unionByName(grouped.select("origin", F.coalesce("copies", F.lit(1)).alias("copies"), "digest", "parts").mapInArrow(join, RECORD))
+    joined = grouped.select("origin", F.coalesce("copies", F.lit(1)).alias("copies"), "digest", "parts").mapInArrow(join, RECORD)
+    return records.where("number is null").select(joined.columns).unionByName(joined)
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Operator 4: document fingerprints by winnowing, in DataFrame functions alone.
 
-Units are runs of non-space characters, cut at 16 code points so that texts without spaces have units too. A gram of 4 units has a cyclic polynomial hash, which rolls: it is
-made of the hashes of its two halves. Of each window of 16 grams the least hash is picked, the rightmost of equal ones, and kept with its place.
+Units are words of up to 16 code points; of longer runs without a space, every code point is a unit, so that in texts without spaces an edit changes only what is near it.
+A gram of 4 units has a cyclic polynomial hash, which rolls: it is made of the hashes of its two halves. Of each window of 16 grams the least hash is picked, the rightmost of equal ones, and kept with its place.
 Any run of 16 + 4 - 1 = 19 equal units in two texts thus shares a pick. Texts with fewer grams than a window have one window, and those
 with fewer units than a gram one gram.
 """
@@ -15,6 +15,7 @@ from . import common
 from .common import let
 
 GRAM, WINDOW, UNIT_CHARS = 4, 16, 16
+UNIT = f"(?<!{common.NOT_SPACE}){common.NOT_SPACE}{{1,{UNIT_CHARS}}}(?!{common.NOT_SPACE})|{common.NOT_SPACE}"
 #: Bits of a pick: 32 of the hash, then 31 of the place counted down, so that the least has the rightmost place.
 PLACE_BITS = 31
 _LAST = (1 << PLACE_BITS) - 1
@@ -29,7 +30,7 @@ def _rolled(values: Column, n: int) -> Column:
 
 def picks(text: Column) -> Column:
     """The picks of a text in order, as an array of longs. Null or without a unit: empty."""
-    units = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"{common.NOT_SPACE}{{1,{UNIT_CHARS}}}"), F.lit(0))
+    units = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(UNIT), F.lit(0))
 
     def grams(u: Column) -> Column:
         return F.when(F.size(u) < GRAM, F.array(F.xxhash64(F.array_join(u, " ")))).otherwise(_rolled(_rolled(F.transform(u, lambda x: F.xxhash64(x)), 1), 2))

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from llm_data import LONG, ROWS, documents, empty
 from oracle import assert_same, connect
@@ -38,6 +39,13 @@ def test_small_payloads_are_all_responses(spark):
     assert warc.with_refers_to(pages, 10).where("refers_to is not null").select("page_id").collect() == [(5,)]
 
 
+def test_pages_with_clashing_columns_and_null_ids(spark):
+    pages = spark.createDataFrame([(None, "u", "x" * 20_000, "c"), (None, "v", "x" * 20_000, "c"), (1, None, "y", None)], "page_id long, url string, html string, salt string").withColumns({c: F.lit(1) for c in ("sha", "bytes", "n", "first", "refers_to", "number")})
+    got = warc.read_archives(warc.write_archives(warc.with_refers_to(pages), common.work_dir(spark, "w"))).collect()
+    # rows without an id refer to nothing and are responses
+    assert sorted((str(r["page_id"]), r["payload_bytes"], r["record_type"]) for r in got) == [("1", 1, "response"), ("None", 20_000, "response"), ("None", 20_000, "response")]
+
+
 def test_no_pages(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.read_archives(warc.write_archives(warc.with_refers_to(pages), common.work_dir(spark, "w"))).count() == 0
@@ -101,7 +109,7 @@ def brute(rows):
 
     for i in range(len(rows)):
         for j in range(i):
-            if bin(fps[i] ^ fps[j]).count("1") <= 3 or (rows[i][0] is not None and rows[i][0] == rows[j][0]):
+            if bin(fps[i] ^ fps[j]).count("1") <= 3:
                 group[root(i)] = root(j)
     least = {}
     for i, (d, _) in enumerate(rows):

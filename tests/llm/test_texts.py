@@ -5,6 +5,7 @@ import itertools
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,7 +42,8 @@ def test_quality_oracle(spark, small):
 
 def test_cascade_order_and_verdict(spark):
     a, b, c = (quality.Rule(n, F.col("x") > k) for n, k in (("a", 5), ("b", 3), ("c", 8)))
-    order = quality.ordered([(a, 1.0, 0.5), (b, 0.1, 0.4), (c, 0.1, 0.0)])
+    # b rejects all that c does, so c has nothing left to reject, though by itself it comes before a
+    order = quality.Measured([a, b, c], [1.0, 0.1, 0.1], {0: 40, 0b001: 20, 0b010: 10, 0b110: 30}).ordered()
     assert [r.name for r in order] == ["b", "a", "c"]
     df = spark.range(10).withColumnRenamed("id", "x")
     assert [r[0] for r in df.select(quality.cascade(order)).collect()] == [None] * 4 + ["b"] * 6
@@ -67,7 +69,7 @@ def picks(text):
 
     h = lambda t: xxhash.xxh64_intdigest(t.encode(), 42)
     turn = lambda x, r: ((x << r) | (x >> (64 - r))) & M
-    units = re.findall(r"[^\x20\x09-\x0D]{1,16}", text)
+    units = [u for w in SPACES.findall(text) for u in ([w] if len(w) <= 16 else w)]
     if not units:
         return []
     v = [h(u) for u in units]
@@ -112,6 +114,15 @@ def test_shared_runs_share_a_pick():
         assert {g for g, _ in picks(a)} & {g for g, _ in picks(b)}
 
 
+def test_texts_without_spaces_share_picks_around_an_edit(spark):
+    rng = np.random.default_rng(9)
+    a = "".join(chr(0x4E00 + k) for k in rng.integers(0, 3000, 2000))
+    b = a[:1000] + "x" + a[1000:]
+    assert alike(picks(a), picks(b)) > 0.95
+    got = spark.createDataFrame([(a, b)], "a string, b string").select(winnow.likeness(winnow.picks(F.col("a")), winnow.picks(F.col("b")))).first()[0]
+    assert got == alike(picks(a), picks(b))
+
+
 def test_language_of_held_out_documents(spark):
     d = "/root/testdata/sf0.01"
     docs = common.table(spark, d, "documents")
@@ -182,18 +193,121 @@ def test_secrets_of_documents(spark):
     assert secrets.scan(empty(spark), secrets.train(empty(spark))).count() == 0
 
 
-def test_the_field_learns_secrets_that_no_pattern_knows(spark):
+def test_likelihood_falls_and_its_gradient_is_right():
+    rng = np.random.default_rng(3)
+    entries = np.stack([rng.integers(0, s, (6, 4)) for s in secrets.SIZES], axis=1)
+    tags = rng.integers(0, 3, (6, 4))
+
+    def loss(field):
+        total = 0.0
+        for x, y in zip(entries, tags):
+            e = field.emissions(x)
+            score = lambda z: field.first[z[0]] + sum(e[k, z[k]] for k in range(4)) + sum(field.transitions[a, b] for a, b in zip(z, z[1:]))  # noqa: B023, E731
+            total += np.log(sum(np.exp(score(z)) for z in itertools.product(range(3), repeat=4))) - score(y)
+        return total / len(tags)
+
+    # one step of the trainer moves each weight by RATE * g / sqrt(g * g + 1e-4) with g its gradient, which differences of the likelihood give as well
+    epochs, secrets.EPOCHS = secrets.EPOCHS, 1
+    try:
+        field = secrets.fit(entries, tags)
+    finally:
+        secrets.EPOCHS = epochs
+    zero = secrets.Field([np.zeros((s, 3)) for s in secrets.SIZES], np.zeros((3, 3)), np.zeros(3))
+    assert loss(field) < loss(zero)
+    places = [(zero.transitions, field.transitions, (i, j)) for i in range(3) for j in range(3)] + [(zero.first, field.first, (i,)) for i in range(3)]
+    places += [(zero.tables[k], field.tables[k], (int(entries[w, k, t]), tag)) for k in range(7) for w in range(2) for t in range(4) for tag in range(3)]
+    for flat, moved, at in places:
+        flat[at] = 1e-5
+        g = loss(zero)
+        flat[at] = -1e-5
+        g = (g - loss(zero)) / 2e-5
+        flat[at] = 0
+        assert abs(moved[at] + secrets.RATE * g / np.sqrt(g * g + 1e-4)) < 1e-4
+
+
+def test_the_field_finds_secrets_that_no_pattern_matches(spark):
+    texts = [r["text"] for r in common.table(spark, "/root/testdata/sf0.01", "documents").where("text is not null").orderBy("doc_id").select("text").collect()]
+    field = secrets.train(spark.createDataFrame([(k, t) for k, t in enumerate(texts[::2])], "doc_id long, text string"))
     rng = np.random.default_rng(8)
-    code = lambda n: "".join(rng.choice(list("0123456789abcdef"), n))
-    plain = ["the", "house", "on", "Hill", "was", "sold", "for", "1200", "pounds", "in", "May"]
-    say = lambda: " ".join(rng.choice(plain, 12))
-    texts = [f'{say()}. token = "{code(40)}" {say()}' if k % 2 else say() for k in range(400)]
-    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
-    field = secrets.train(df)
-    odd = f'{say()}. token = "{code(18)}XyZ{code(19)}" {say()}'
-    found = secrets.find(secrets.Field(field.tables, field.transitions, field.first), [say() for _ in range(20)])
-    assert not any(found)
-    assert secrets.find(field, [odd])[0]
+    code = lambda n: "".join(rng.choice(list("abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ0123456789"), n))
+    ways = ['the "key" is {}', "opens with '{}'", "{}", "session {} expires", "the token is {}", "credential = {}", "deploy --key {} now"]
+    found = planted = added = 0
+    for k, text in enumerate(texts[1::2]):
+        words = text.split(" ")
+        at = int(rng.integers(len(words)))
+        before, after = " ".join(words[:at]), " ".join(words[at:])
+        head, _, tail = ways[k % len(ways)].partition("{}")
+        secret = code(int(rng.integers(14, 40)))
+        whole = f"{before} {head}{secret}{tail} {after}"
+        start = len(before) + 1 + len(head)
+        assert not any(a < start + len(secret) and start < b for a, _, b, _ in secrets.base_spans(whole)), "a pattern knows it"
+        own = [s for s in secrets.find(field, [whole])[0] if secrets.KINDS[s[1]] == "crf"]
+        planted, added, found = planted + 1, added + len(own), found + ((start, 3, start + len(secret)) in own)
+    assert planted > 300 and found >= 0.9 * planted and found >= 0.9 * added
+    plain = secrets.find(field, texts[1::2])
+    assert sum(s[1] == 3 for x in plain for s in x) <= 0.01 * len(plain)
+
+
+def test_added_spans_stay_clear_of_base_spans():
+    field = secrets.Field([np.zeros((s, 3)) for s in secrets.SIZES], np.zeros((3, 3)), np.array([0.0, 9.0, 0.0]))  # every line's first token is a secret
+    text = "éa b\n0123456789abcdef0 c\n\U0001f600 zz y\nq 0123456789abcdef0"
+    got = secrets.find(field, [text, "", "ü w"])
+    assert [[(secrets.KINDS[k], t[a:b]) for a, k, b in x] for x, t in zip(got, (text, "", "ü w"))] == [[("crf", "éa"), ("hex", "0123456789abcdef0"), ("crf", "\U0001f600"), ("crf", "q"), ("hex", "0123456789abcdef0")], [], [("crf", "ü")]]
+
+
+def test_samples_do_not_vanish():
+    assert all(common.sample_bound(4000 / n) / 2**62 == pytest.approx(4000 / n, rel=1e-3) for n in (10**5, 10**9, 10**11, 10**13))
+    assert common.sample_bound(5.0) == 1 << 62 and common.sample_bound(0.0) == 1
+
+
+def plain_likelihoods(model, text):
+    """Log-likelihoods of each word, byte by byte."""
+    said = "".join(chr(b) if 97 <= b <= 122 or b >= 128 else " " for b in text.lower().encode())
+    data, out = [32, 32, 32, 32], []
+    for word in said.split():
+        like = np.zeros(len(model.languages))
+        for b in [*map(ord, word), 32]:
+            data.append(b)
+            four = data[-4:]
+            keys = [four[3], four[2] << 8 | four[3], ((four[1] << 16 | four[2] << 8 | four[3]) * 0x9E3779B1 & 0xFFFFFFFF) >> 16, ((four[0] << 24 | four[1] << 16 | four[2] << 8 | four[3]) * 0x85EBCA6B & 0xFFFFFFFF) >> 16]
+            counts = [t[k].astype(float) for t, k in zip(model.tables, keys)]
+            p = language.UNSEEN + language.WEIGHTS[3] * counts[0] / model.tables[0].sum(0)
+            for n in (1, 2, 3):
+                p = p + language.WEIGHTS[3 - n] * np.minimum(counts[n] / np.maximum(counts[n - 1], 1), 1)
+            like += np.log(p)
+        out.append(like)
+    return np.array(out)
+
+
+def plain_choice(words):
+    """The likeliest language of the best set, by mixtures worked out one text at a time."""
+    n, k = words.shape
+    cost = language.PENALTY * np.log(n + 1)
+    best, score = np.eye(k)[words.sum(0).argmax()], words.sum(0).max()
+    active = np.ones(k, bool)
+    for size in range(k, 1, -1):
+        share = active / active.sum()
+        for _ in range(language.ROUNDS):
+            weight = np.exp(words - words[:, active].max(1, keepdims=True)) * share
+            share = (weight / weight.sum(1, keepdims=True)).mean(0)
+        like = np.log((np.exp(words - words[:, active].max(1, keepdims=True)) * share).sum(1)).sum() + words[:, active].max(1).sum()
+        if like - cost * (size - 1) > score:
+            best, score = share, like - cost * (size - 1)
+        active[np.where(active, share, np.inf).argmin()] = False
+    return best
+
+
+def test_languages_are_those_of_a_plain_version(spark):
+    docs = common.table(spark, "/root/testdata/sf0.001", "documents")
+    model = language.train(docs)
+    texts = [r["text"] for r in docs.where("text is not null").orderBy("doc_id").limit(40).collect()]
+    texts += [a[:200] + " " + b[:400] for a, b in zip(texts, texts[7:20])]
+    names, shares = language.predict(model, pa.array(texts))
+    for text, name, share in zip(texts, names, shares):
+        words = plain_likelihoods(model, text)
+        if len(words):
+            want = plain_choice(words)
+            assert share == pytest.approx(want.max(), abs=2e-3) and (name == model.languages[want.argmax()] or np.sort(want)[-1] - np.sort(want)[-2] < 4e-3)
 
 
 def test_toxicity_of_held_out_documents(spark):
@@ -201,10 +315,41 @@ def test_toxicity_of_held_out_documents(spark):
     labels = common.table(spark, d, "labels")
     got = toxicity.op8_toxicity(spark, d).where("held_out").join(labels, "doc_id").select("toxic", "predicted", "score").collect()
     hit = sum(r["toxic"] and r["predicted"] for r in got)
-    assert hit >= 0.8 * sum(r["toxic"] for r in got) and hit >= 0.8 * sum(r["predicted"] for r in got)
+    # one in twenty of the toxic rows has none of the words that mark the others
+    assert hit >= 0.88 * sum(r["toxic"] for r in got) and hit >= 0.85 * sum(r["predicted"] for r in got)
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in got)
 
 
+def test_scores_are_those_of_a_plain_network():
+    rng = np.random.default_rng(4)
+    words = ["good", "bad", "day", "night", "tree", "vile", "blue"]
+    said = [" ".join(rng.choice(words, rng.integers(0, 12))) for _ in range(200)]
+    rows = [toxicity.word_rows([t.encode()])[0] for t in said]
+    net = toxicity.fit(rows, np.array([float("vile" in t) for t in said]), ["a", "b"] * 100, np.ones(200))
+    got = net.scores(net.tables(), [t.encode() for t in said[:40]])
+    for text, own, score in zip(said, rows, got):
+        pad = np.zeros((max(toxicity.FILTERS), 2), int)
+        x = net.embedding[np.concatenate([own, pad])].sum(1)  # a word is the sum of two rows
+        pooled = []
+        for k, taps in net.filters.items():
+            places = range(len(own) + 1)  # windows may hang over the end
+            pooled.append(np.max([np.maximum(sum(x[i + j] @ taps[j] for j in range(k)) + net.bias[k], 0) for i in places], axis=0))
+        logit = np.concatenate(pooled) @ net.weights + net.offset
+        spoken = net.languages[own[:, 0]].sum(0).argmax()
+        want = 1 / (1 + np.exp(-(logit - net.thresholds[spoken] + np.log(0.7 / 0.3))))
+        assert score == pytest.approx(want, abs=1e-4)
+
+
+def test_long_and_repeated_texts_take_part_in_training(spark):
+    long = " ".join(["tree"] * 9000)
+    docs = spark.createDataFrame([(k, f"{long} {'vile' if k % 2 else 'good'}", "a") for k in range(40)] + [(1, "good", "a")] * 50, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
+    few = toxicity.train(docs, labels, train_chars=20 * len(long))
+    assert few.embedding.any()
+    got = toxicity.score(docs.where("doc_id > 1"), toxicity.train(docs, labels)).collect()
+    assert sum(r["predicted"] == r["doc_id"] % 2 for r in got) >= 0.9 * len(got)
+
+
 def test_toxicity_cases(spark):
     docs = documents(spark)
     labels = spark.createDataFrame([(7, 1, 1), (2, 1, 0), (2, 0, 0), (13, 1, 0), (None, 0, 1), (12, 0, None)], "doc_id long, quality int, toxic int")

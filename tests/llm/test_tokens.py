@@ -51,7 +51,7 @@ def test_every_character_is_cut_where_the_library_cuts(bpe):
 @settings(deadline=None, max_examples=150)
 @given(st.lists(st.integers(0, 2**64 - 1) | st.integers(0, 60_000) | st.just(0), max_size=3000), st.integers(1, 7))
 def test_simple8b_comes_back(tmp_path_factory, values, parts):
-    path = str(tmp_path_factory.mktemp("s8b") / "x.ids")
+    path = (tmp_path_factory.mktemp("s8b") / "x.ids").as_uri()
     writer, ids = simple8b.Writer(path), np.array(values, np.uint64)
     cuts = np.array_split(ids, parts)
     for k in range(0, parts, 2):  # two documents at a time
