@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,28 +33,44 @@ def code_table(counts: dict[int, int]) -> dict[int, tuple[int, int]]:
     return out
 
 
-def encode(data: bytes, table: dict[int, tuple[int, int]]) -> bytes:
-    """The codes of bytes and of the end, packed from the low bits of each byte up."""
-    value = size = 0
-    for s in [*data, END]:
-        code, bits = table[s]
-        value |= int(f"{code:0{bits}b}"[::-1], 2) << size
-        size += bits
-    return value.to_bytes(-(-size // 8), "little")
-
-
-def decode(data: bytes, table: dict[int, tuple[int, int]]) -> bytes:
-    symbols = {(bits, code): s for s, (code, bits) in table.items()}
-    value, out, code, bits = int.from_bytes(data, "little"), bytearray(), 0, 0
-    for _ in range(8 * len(data)):
-        code, bits, value = code << 1 | value & 1, bits + 1, value >> 1
-        s = symbols.get((bits, code))
-        if s == END:
-            return bytes(out)
-        if s is not None:
-            out.append(s)
-            code = bits = 0
-    raise ValueError("the codes have no end")
+class Codes:
+    """Codes of symbols, made of their counts; bytes are encoded by array operations and decoded by a table of the next bits."""
+
+    def __init__(self, counts: dict[int, int]):
+        self.table = code_table(counts)
+        self.code, self.bits = np.zeros(END + 1, np.uint64), np.zeros(END + 1, np.int64)
+        for s, (code, bits) in self.table.items():
+            self.code[s], self.bits[s] = code, bits
+        self.longest = int(self.bits.max())
+
+    def encode(self, data: bytes) -> bytes:
+        """The codes of bytes and of the end, first bits first, packed from the low bits of each byte up."""
+        s = np.append(np.frombuffer(data, np.uint8), END)
+        bits = self.bits[s]
+        if not bits.all():
+            raise ValueError("a byte has no code")
+        ends = np.cumsum(bits)
+        left = np.repeat(ends, bits) - 1 - np.arange(ends[-1])  # bits of the code after this one
+        return np.packbits((np.repeat(self.code[s], bits) >> left.astype(np.uint64)).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+    def decode(self, data: bytes) -> bytes:
+        """Steps from code to code: where each begins is known when the one before is."""
+        raw = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little")
+        padded = np.append(raw, np.zeros(self.longest, np.uint8)).astype(np.uint64)
+        ahead = np.zeros(len(raw), np.uint64)  # the next bits at each place
+        for k in range(self.longest):
+            ahead = ahead << np.uint64(1) | padded[k : k + len(raw)]
+        # canonical codes, left-aligned, are in order: the last that isn't larger is the one
+        order = sorted(self.table, key=lambda s: self.table[s][::-1])
+        firsts = np.array([self.table[s][0] << (self.longest - self.table[s][1]) for s in order], np.uint64)
+        found = np.array(order)[np.searchsorted(firsts, ahead, side="right") - 1]
+        symbols, steps, out, at = found.tolist(), self.bits[found].tolist(), bytearray(), 0
+        while at < len(symbols):
+            if symbols[at] == END:
+                return bytes(out)
+            out.append(symbols[at])
+            at += steps[at]
+        raise ValueError("the codes have no end")
 
 
 def texts(spark, d) -> DataFrame:
@@ -67,8 +84,12 @@ def histogram(df: DataFrame) -> DataFrame:
     return df.select(F.explode(F.concat("bytes", F.array(F.lit(END)))).alias("symbol")).groupBy("symbol").agg(F.count("*").alias("n"))
 
 
+def counts_of(df: DataFrame) -> dict[int, int]:
+    return {r["symbol"]: r["n"] for r in histogram(df).collect()} or {END: 1}
+
+
 def table_of(df: DataFrame) -> dict[int, tuple[int, int]]:
-    return code_table({r["symbol"]: r["n"] for r in histogram(df).collect()})
+    return code_table(counts_of(df))
 
 
 _H = "b AS (SELECT frame_no, h1 & 255 AS symbol FROM headers UNION ALL SELECT DISTINCT frame_no, 256 FROM headers)"
@@ -106,15 +127,15 @@ def huffman_checksum(spark, d):
 def coded(df: DataFrame) -> DataFrame:
     """frame_no, raw and coded bytes, and whether decoding gives the payload back."""
     worker_path(df.sparkSession)
-    table = table_of(df)  # of 257 entries at most
+    codes = Codes(counts_of(df))  # of 257 entries at most
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             raw = [bytes(v) for v in batch.column(1).to_pylist()]
-            out = [encode(r, table) for r in raw]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, raw), pa.int64()), pa.array(out, pa.binary()), pa.array([decode(o, table) == r for o, r in zip(out, raw)])], ["frame_no", "raw", "coded", "same"])
+            out = [codes.encode(r) for r in raw]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, raw), pa.int64()), pa.array(out, pa.binary()), pa.array([codes.decode(o) == r for o, r in zip(out, raw)], pa.bool_())], ["frame_no", "raw", "coded", "same"])
 
     return df.mapInArrow(run, "frame_no int, raw long, coded binary, same boolean")
 

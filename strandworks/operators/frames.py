@@ -5,18 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.order import with_lag, with_running_sum
+from ..functions.order import bounds_of, stretch, with_running_sum
 from ..registry import query
 from ..tables import headers, r4, sql, table, traces
 
 
 def segmented(df: DataFrame, order: str, key: str) -> DataFrame:
-    """Adds frame_no: it grows by one wherever the key differs from the row before in order, so a key that comes back starts a new frame.
+    """Adds frame_no, number and traces_so_far, in order of a unique order: a frame begins wherever the key differs from the row before, so a key that comes back starts a new one.
 
-    Changes and their running sum are made within stretches of the order, so no task sees the whole stream.
+    One pass over stretches of the order: what a row needs from other stretches (frames and rows before, where the frame it is in began) comes from a table with a row a
+    stretch, so no task sees the whole stream, or a frame that is longer than a stretch.
     """
-    changed = with_lag(df, order, key, "_before").withColumn("_change", F.when(F.col(key).eqNullSafe(F.col("_before")), 0).otherwise(1))
-    return with_running_sum(changed, order, {"frame_no": "_change"}).drop("_before", "_change")
+    cut = df.withColumn("_s", stretch(F.col(order), bounds_of(df, order)))
+    w = Window.partitionBy("_s").orderBy(order)
+    upto, before = w.rowsBetween(Window.unboundedPreceding, 0), Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    rows = cut.withColumn("_n", F.row_number().over(w)).withColumn("_change", (F.col("_n") > 1) & ~F.col(key).eqNullSafe(F.lag(key).over(w)))
+    rows = rows.withColumn("_f", F.count_if("_change").over(upto)).withColumn("_at", F.max(F.when(F.col("_change"), F.col("_n"))).over(upto))
+    total = rows.groupBy("_s").agg(F.min_by(key, "_n").alias("first"), F.max_by(key, "_n").alias("last"), F.max("_f").alias("f"), F.max("_n").alias("n"), F.max("_at").alias("at"))
+    total = total.withColumn("new", F.lag(F.lit(False), 1, True).over(Window.orderBy("_s")) | ~F.col("first").eqNullSafe(F.lag("last").over(Window.orderBy("_s"))))
+    total = total.withColumn("_rows", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("_frames", F.coalesce(F.sum(F.col("f") + F.col("new").cast("int")).over(before), F.lit(0)) + F.col("new").cast("int"))
+    total = total.withColumn("began", F.max(F.coalesce(F.col("_rows") + F.col("at"), F.when(F.col("new"), F.col("_rows") + 1))).over(before))
+    total = total.select("_s", "_rows", "_frames", F.when(F.col("new"), F.col("_rows") + 1).otherwise(F.col("began")).alias("_began"))
+    out = rows.join(F.broadcast(total), "_s")  # as many rows as stretches, which follow the number of partitions
+    place = F.col("_rows") + F.col("_n")
+    number = place - F.coalesce(F.col("_rows") + F.col("_at"), F.col("_began")) + 1
+    return out.select(*df.columns, (F.col("_frames") + F.col("_f")).alias("frame_no"), number.cast("int").alias("number"), place.alias("traces_so_far"))
 
 
 def keyed(spark, d) -> DataFrame:
@@ -34,15 +47,13 @@ def frame_segmentation(spark, d):
 @query("trace_in_frame", sql("traces", body=_CHANGE + " SELECT trace_id, CAST(frame_no AS BIGINT) AS frame_no, CAST(row_number() OVER (PARTITION BY frame_no ORDER BY trace_id) AS INT) AS number, row_number() OVER (PARTITION BY frame_no ORDER BY trace_id) > 2 AS overflow FROM f"))
 def trace_in_frame(spark, d):
     """Number of each trace in its frame, and whether that is over two."""
-    n = F.row_number().over(Window.partitionBy("frame_no").orderBy("trace_id"))
-    return segmented(keyed(spark, d), "trace_id", "frame_key").select("trace_id", "frame_no", n.alias("number"), (n > 2).alias("overflow"))
+    return segmented(keyed(spark, d), "trace_id", "frame_key").select("trace_id", "frame_no", "number", (F.col("number") > 2).alias("overflow"))
 
 
 @query("frame_counters", sql("traces", body=_CHANGE + " SELECT trace_id, CAST(row_number() OVER (ORDER BY trace_id) AS BIGINT) AS traces_so_far, CAST(dense_rank() OVER (ORDER BY frame_no) AS BIGINT) AS frames_so_far FROM f"))
 def frame_counters(spark, d):
     """How many traces and frames there are up to each trace."""
-    one = segmented(keyed(spark, d), "trace_id", "frame_key").withColumn("one", F.lit(1))
-    return with_running_sum(one, "trace_id", {"traces_so_far": "one"}).select("trace_id", "traces_so_far", F.col("frame_no").alias("frames_so_far"))
+    return segmented(keyed(spark, d), "trace_id", "frame_key").select("trace_id", "traces_so_far", F.col("frame_no").alias("frames_so_far"))
 
 
 @query("running_bytes", "SELECT o_orderkey, CAST(sum(b) OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS bytes, CAST(sum(1) OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS traces FROM (SELECT o_orderkey, CAST(o_custkey AS BIGINT) AS b FROM orders)")

@@ -29,44 +29,39 @@ def fields(spark, d) -> DataFrame:
     return h.select("frame_no", F.posexplode(each).alias("field_no", "values"))
 
 
-def equal_steps(values: list[int], step: int | None) -> int:
-    """How many of the first values go on by one step: that given, or whatever the first two show."""
-    if len(values) < 2:
-        return len(values)
-    step = values[1] - values[0] if step is None else step
-    n = 1
-    while n < len(values) and values[n] - values[n - 1] == step:
-        n += 1
-    return n
-
-
-def float_steps(values: list[int]) -> int:
+def float_steps(bits: np.ndarray) -> int:
     """How many of the first values are bits of floats that go on by one float step, each exactly."""
-    f = np.array(values, np.int64).astype(np.int32).view(np.float32)
     looks = lambda i: (i > 700_000_000 or i < -700_000_000) and not np.isnan(np.int32(i).view(np.float32))
-    if len(values) < 2 or not (looks(values[0]) and looks(values[1])):
+    if len(bits) < 2 or not (looks(bits[0]) and looks(bits[1])):
         return 1
-    step, n = np.float32(f[1] - f[0]), 2
-    while n < len(values) and np.float32(f[n - 1] + step) == f[n]:
-        n += 1
+    f = bits[:2].astype(np.int32).view(np.float32)
+    step, n, ahead = np.float32(f[1] - f[0]), 2, 8
+    while n < len(bits):  # a stretch at a time, as most runs are short
+        f = bits[n - 1 : n + ahead].astype(np.int32).view(np.float32)
+        off = np.nonzero(f[:-1] + step != f[1:])[0]
+        if len(off):
+            return n + int(off[0])
+        n, ahead = n + len(f) - 1, 4 * ahead
     return n
 
 
 def runs(values: list[int]) -> list[tuple[str, int, int, int]]:
     """(kind, length, first, step) of a field's values from first to last: the first kind that gives a run long enough, else a single literal."""
+    v = np.array(values, np.int64)
+    step = np.diff(v)
+    turns = np.append(np.nonzero(np.diff(step))[0] + 1, len(step))  # where the step changes
+    lengths = (turns[np.searchsorted(turns, np.arange(len(step)), side="right")] if len(step) else step) - np.arange(len(step)) + 1
     out, at = [], 0
     while at < len(values):
-        rest = values[at:]
-        lengths = {"const": equal_steps(rest, 0), "ascending": equal_steps(rest, 1), "descending": equal_steps(rest, -1)}
-        kind = next((k for k in lengths if lengths[k] >= FEWEST[k]), None)
-        if kind is None:
-            lengths |= {"delta": equal_steps(rest, None)}
-            kind = "delta" if lengths["delta"] >= FEWEST["delta"] else None
+        n, by = (int(lengths[at]), int(step[at])) if at < len(step) else (1, 0)
+        kind = {0: "const", 1: "ascending", -1: "descending"}.get(by, "delta")
+        if n < FEWEST[kind]:
+            kind = "delta" if n >= FEWEST["delta"] else None
         if kind is None:
-            lengths |= {"float": float_steps(rest)}
-            kind = "float" if lengths["float"] >= FEWEST["float"] else None
-        n = lengths[kind] if kind else 1
-        out.append((kind or "literal", n, rest[0], rest[1] - rest[0] if kind not in (None, "const") else 0))
+            n = float_steps(v[at:])
+            kind = "float" if n >= FEWEST["float"] else None
+        n = n if kind else 1
+        out.append((kind or "literal", n, int(v[at]), by if kind not in (None, "const") else 0))
         at += n
     return out
 
@@ -97,6 +92,20 @@ def coded(df: DataFrame) -> DataFrame:
     return df.select("frame_no", "field_no", "values").mapInArrow(run, schema)
 
 
+def expanded(df: DataFrame) -> DataFrame:
+    """frame_no, field_no, values: what the runs of each field (frame_no, field_no, values) give when expanded again, float runs by float steps."""
+    worker_path(df.sparkSession)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            back = [[x for r in runs(v) for x in expand(*r)] for v in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(back, pa.list_(pa.int64()))], ["frame_no", "field_no", "values"])
+
+    return df.select("frame_no", "field_no", "values").mapInArrow(run, "frame_no int, field_no int, values array<long>")
+
+
 def packed(df: DataFrame) -> DataFrame:
     """frame_no, field_no, raw and deflated bytes of the big-endian values, and whether inflating gives them back."""
     worker_path(df.sparkSession)
@@ -145,9 +154,7 @@ def hdr_rle_greedy(spark, d):
 @query("hdr_rle_expand", sql("headers", body="SELECT frame_no, f AS field_no, CAST(row_number() OVER (PARTITION BY frame_no, f ORDER BY trace_in_frame)-1 AS INT) AS i, CAST(CASE f WHEN 0 THEN h0 WHEN 1 THEN h1 WHEN 2 THEN h2 ELSE h3 END AS BIGINT) AS value FROM headers, (VALUES (0),(1),(2),(3)) v(f)"))
 def hdr_rle_expand(spark, d):
     """Header fields coded as runs and expanded again."""
-    steps = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.col("first") + k * F.col("step"))
-    c = coded(fields(spark, d)).groupBy("frame_no", "field_no").agg(F.array_sort(F.collect_list(F.struct("run_no", steps.alias("v")))).alias("r"))
-    return c.select("frame_no", "field_no", F.posexplode(F.flatten(F.transform("r", lambda x: x["v"]))).alias("i", "value"))
+    return expanded(fields(spark, d)).select("frame_no", "field_no", F.posexplode("values").alias("i", "value"))
 
 
 def absent(used: DataFrame, n: int) -> DataFrame:
@@ -159,7 +166,7 @@ def absent(used: DataFrame, n: int) -> DataFrame:
     return found.orderBy("value").limit(n)
 
 
-@query("absent_values", sql("headers", body="c AS (SELECT unnest(range(1, 2000)) AS value) SELECT CAST(value AS BIGINT) AS value FROM c WHERE value NOT IN (SELECT h1 FROM headers) ORDER BY value LIMIT 5"))
+@query("absent_values", sql("headers", body="c AS (SELECT unnest(range(1, (SELECT count(*) FROM headers) + 6)) AS value) SELECT CAST(value AS BIGINT) AS value FROM c WHERE value NOT IN (SELECT h1 FROM headers) ORDER BY value LIMIT 5"))
 def absent_values(spark, d):
     """The five smallest numbers that a field doesn't have, to stand for runs."""
     return absent(headers(spark, d).select(F.col("h1").cast("long").alias("value")), 5)

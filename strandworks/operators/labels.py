@@ -92,7 +92,7 @@ def seeded_sample(spark, d):
 def first_per_category(spark, d):
     """The first two documents of each source. An aggregate that keeps two ids stands in for a window, so a large source isn't sorted in one task."""
     firsts = table(spark, d, "documents").groupBy("source").agg(F.min("doc_id").alias("a"))
-    rest = table(spark, d, "documents").join(F.broadcast(firsts), "source").where("doc_id > a").groupBy("source").agg(F.min("doc_id").alias("doc_id"))
+    rest = table(spark, d, "documents").join(firsts, "source").where("doc_id > a").groupBy("source").agg(F.min("doc_id").alias("doc_id"))
     return firsts.select("source", F.col("a").alias("doc_id")).unionByName(rest)
 
 

@@ -25,10 +25,11 @@ def worker_path(spark: SparkSession) -> None:
 
 
 def apply_matrix(df: DataFrame, column: str, matrix: np.ndarray, out: str) -> DataFrame:
-    """Adds the product of the matrix and an array column of as many values; a null or shorter array counts zeros, and longer ones are cut."""
+    """Adds the product of the matrix and an array column of as many values; a null or shorter array counts zeros, a longer one is an error."""
     worker_path(df.sparkSession)
     n = matrix.shape[1]
-    padded = F.slice(F.concat(F.coalesce(F.col(column).cast(DOUBLES), F.array().cast(DOUBLES)), F.array_repeat(F.lit(0.0), n)), 1, n)
+    whole = F.coalesce(F.col(column).cast(DOUBLES), F.array().cast(DOUBLES))
+    padded = F.when(F.size(whole) > n, F.raise_error(F.lit(f"an array has more than {n} values"))).otherwise(F.slice(F.concat(whole, F.array_repeat(F.lit(0.0), n)), 1, n))
     ready = df.withColumn(out, padded)
     names = ready.columns
 
@@ -45,11 +46,20 @@ def apply_matrix(df: DataFrame, column: str, matrix: np.ndarray, out: str) -> Da
 
 
 def frames(df: DataFrame, n2: int = N2, n1: int = N1) -> DataFrame:
-    """frame_no, live (traces there) and grid: each frame as one row of n2 * n1 values, missing traces as zeros. A frame has at most n2 traces."""
+    """frame_no, live (places that have a trace) and grid: each frame as one row of n2 * n1 values, missing traces as zeros and short ones padded.
+
+    Of several rows with one place the greatest array counts. A place outside 0 to n2 - 1, and a trace of more than n1 samples, is an error.
+    """
     zeros = F.array_repeat(F.lit(0.0), n1)
-    grouped = df.groupBy("frame_no").agg(F.count("*").alias("live"), F.map_from_entries(F.collect_list(F.struct("trace_in_frame", F.col("samples").cast(DOUBLES)))).alias("rows"))
+    odd = ~F.col("trace_in_frame").between(0, n2 - 1) | (F.size("samples") > n1) | F.col("trace_in_frame").isNull()
+    whole = F.slice(F.concat(F.coalesce(F.col("samples").cast(DOUBLES), F.array().cast(DOUBLES)), zeros), 1, n1)
+    place = F.when(F.coalesce(odd, F.lit(False)), F.raise_error(F.lit("a trace doesn't fit its frame")).cast("int")).otherwise(F.col("trace_in_frame"))
+    grouped = df.select("frame_no", place.alias("place"), whole.alias("x")).groupBy("frame_no").agg(F.array_sort(F.collect_list(F.struct("place", "x"))).alias("rows"))
+    # of equal places the last, which has the greatest array
+    last = F.filter("rows", lambda r, i: F.coalesce(F.try_element_at("rows", i + 2)["place"] != r["place"], F.lit(True)))
+    rows = grouped.select("frame_no", F.map_from_entries(last).alias("rows"))
     grid = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(n2 - 1)), lambda k: F.coalesce(F.try_element_at("rows", k), zeros)))
-    return grouped.select("frame_no", "live", grid.alias("grid"))
+    return rows.select("frame_no", F.size("rows").cast("long").alias("live"), grid.alias("grid"))
 
 
 def transform_frames(df: DataFrame, column: str, length: int, out: str, inverse: bool = False, n2: int = N2, n1: int = N1) -> DataFrame:

@@ -56,8 +56,37 @@ def power_to_db(spark, d):
     return power(spark, d).select("trace_id", F.posexplode(F.transform(decibels(F.col("power")), two)).alias("k", "db"))
 
 
-@query("mel_spectrogram")
+_MEL = "m AS (SELECT trace_id, band, sum(p*w) AS m FROM p JOIN (VALUES " + ", ".join(f"({b}, {k}, {float(w)!r}::DOUBLE)" for (b, k), w in np.ndenumerate(mel_bands()) if w) + ") AS c(band, k, w) USING (k) GROUP BY ALL)"
+
+
+@query("mel_spectrogram", sql("samples", body=_P + ", " + _MEL + ", b AS (SELECT trace_id, band, 10*log10(greatest(m,1e-10)) AS b FROM m) SELECT trace_id, CAST(band AS INT) AS band, floor(greatest(b-max(b) OVER (PARTITION BY trace_id),-80.0e0)*1e4+0.5e0)/1e4 + 0.0e0 AS db FROM b"))
 def mel_spectrogram(spark, d):
     """Mel bands of each trace in decibels."""
     m = apply_matrix(power(spark, d), "power", mel_bands(), "mel")
     return m.select("trace_id", F.posexplode(F.transform(decibels(F.col("mel")), r4)).alias("band", "db"))
+
+
+#: Samples of a spectrogram's frames, and from frame to frame.
+FRAME, HOP = 32, 8
+
+
+def short_time(n: int = N1, frame: int = FRAME, hop: int = HOP) -> np.ndarray:
+    """Cosine and sine rows of every frame's bins, each frame under a Hann window: (2 x frames x bins) x n. Frames lie within the trace."""
+    k, j = np.arange(frame // 2 + 1)[:, None], np.arange(frame)[None, :]
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * j / frame)
+    starts = range(0, n - frame + 1, hop)
+    out = np.zeros((2, len(starts), frame // 2 + 1, n))
+    for f, start in enumerate(starts):
+        out[0, f, :, start : start + frame] = window * np.cos(2 * np.pi * k * j / frame)
+        out[1, f, :, start : start + frame] = window * np.sin(2 * np.pi * k * j / frame)
+    return out.reshape(-1, n)
+
+
+@query("stft_power", sql("samples", body=f"s AS (SELECT trace_id, f, k, i-f*{HOP} AS j, x FROM samples, range({(N1 - FRAME) // HOP + 1}) a(f), range({FRAME // 2 + 1}) b(k) WHERE i-f*{HOP} BETWEEN 0 AND {FRAME - 1}), w AS (SELECT trace_id, f, k, j, x*(0.5e0-0.5e0*cos(2*pi()*j/{FRAME}.0e0)) AS x FROM s), p AS (SELECT trace_id, f, k, pow(sum(x*cos(2*pi()*k*j/{FRAME}.0e0)),2)+pow(sum(x*sin(2*pi()*k*j/{FRAME}.0e0)),2) AS p FROM w GROUP BY ALL) SELECT trace_id, CAST(f AS INT) AS frame, CAST(k AS INT) AS bin, floor(p*1e4+0.5e0)/1e4 AS power FROM p"))
+def stft_power(spark, d):
+    """Power of the bins of overlapping frames of each trace under a Hann window."""
+    m = short_time()
+    half, bins = len(m) // 2, FRAME // 2 + 1
+    t = apply_matrix(traces(spark, d), "samples", m, "s")
+    power = F.zip_with(F.slice("s", 1, half), F.slice("s", half + 1, half), lambda c, s: r4(c * c + s * s))
+    return t.select("trace_id", F.posexplode(power).alias("at", "power")).select("trace_id", F.floor(F.col("at") / bins).cast("int").alias("frame"), (F.col("at") % bins).cast("int").alias("bin"), "power")

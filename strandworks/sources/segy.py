@@ -117,7 +117,7 @@ def read_segy(manifest: DataFrame) -> DataFrame:
 
     starts = F.explode(F.sequence(F.lit(0), F.col("records") - 1, F.lit(RECORDS_A_TASK)))
     ranges = manifest.where("records > 0").select("uri", "records", starts.alias("a")).select("uri", "a", F.least(F.col("a") + RECORDS_A_TASK, "records").alias("b"))
-    return ranges.repartition(max(1, manifest.count())).mapInArrow(run, "trace_id long, frame_key int, samples array<float>")
+    return ranges.repartition(max(1, ranges.count())).mapInArrow(run, "trace_id long, frame_key int, samples array<float>")
 
 
 def write_frames(df: DataFrame, path: str) -> None:
@@ -125,7 +125,7 @@ def write_frames(df: DataFrame, path: str) -> None:
     df.sortWithinPartitions("volume", "frame_no").write.partitionBy("volume").parquet(path)
 
 
-@query("src_segy_header")
+@query("src_segy_header", "SELECT DISTINCT CAST(32 AS INT) AS traces_per_frame, 4.0e0 AS interval_ms, CAST(len(embedding) AS INT) AS samples FROM embeddings")
 def src_segy_header(spark: SparkSession, d: str) -> DataFrame:
     """Headers of the files that the traces were written to."""
     return headers_of(write_segy(traces(spark, d), folder(spark, "segy"))).select("traces_per_frame", "interval_ms", "samples")

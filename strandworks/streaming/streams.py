@@ -18,8 +18,14 @@ from ..tables import sql, table
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new folder in spark.checkpoint.dir, or in a temporary one of this machine where that is unset, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or Path(tempfile.gettempdir()).as_uri()
+    """A new folder, in full, in spark.checkpoint.dir; in local mode in a temporary one where that is unset, on a cluster that is an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = Path(tempfile.gettempdir()).as_uri()
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    root = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
