@@ -147,6 +147,14 @@ def q_normalize(spark, d):
     return traces(spark, d).select("trace_id", F.posexplode(z).alias("i", "z"))
 
 
+@query("pixel_to_db", sql("samples", body="p AS (SELECT trace_id, i, greatest(0, least(255, CAST(floor(abs(x)*255.0e0) AS INT))) AS pixel FROM samples) SELECT trace_id, i, pixel, floor(pixel/255.0e0*-80.0e0*1e4+0.5e0)/1e4 + 0.0e0 AS db FROM p"))
+def q_pixel_to_db(spark, d):
+    """Pixels of 0 to 255 as levels of 0 to -80 dB."""
+    pixels = F.transform("samples", lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(F.abs(x.cast("double")) * 255.0).cast("int"))))
+    p = traces(spark, d).select("trace_id", F.posexplode(pixels).alias("i", "pixel"))
+    return p.withColumn("db", r4(F.col("pixel") / 255.0 * -80.0))
+
+
 @query("accuracy_band", sql("class_log", body="SELECT log_id, CASE WHEN confidence>=0.95e0 THEN 'high' WHEN confidence>=0.85e0 THEN 'middle' ELSE 'low' END AS band FROM class_log"))
 def q_band(spark, d):
     return class_log(spark, d).select("log_id", accuracy_band(F.col("confidence")).alias("band"))

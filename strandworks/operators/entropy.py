@@ -124,6 +124,43 @@ def huffman_checksum(spark, d):
     return histogram(texts(spark, d)).agg(F.count("*").alias("symbols"), F.sum("symbol").alias("checksum"))
 
 
+@query("huffman_tree_checksum", sql("headers", body=_H + " SELECT CAST(count(*) AS BIGINT) AS leaves, CAST(count(*)-1 AS BIGINT) AS inner_nodes, CAST(sum(symbol)-(count(*)-1) AS BIGINT) AS checksum FROM (SELECT DISTINCT symbol FROM b)"))
+def huffman_tree_checksum(spark, d):
+    """Leaves and inner nodes of the code's tree, the latter found as the distinct beginnings of codes, and the leaves' symbols less the number of inner nodes."""
+    codes = huffman_lengths(spark, d)
+    inner = codes.select(F.explode(F.transform(F.sequence(F.lit(0), F.col("bits") - 1), lambda k: F.struct(k.alias("k"), F.floor(F.col("code") / F.pow(F.lit(2.0), F.col("bits") - k)).alias("beginning"))))).distinct().agg(F.count("*").alias("inner_nodes"))
+    leaves = codes.agg(F.count("*").alias("leaves"), F.sum("symbol").alias("symbols"))
+    return leaves.join(F.broadcast(inner)).select("leaves", "inner_nodes", (F.col("symbols") - F.col("inner_nodes")).alias("checksum"))  # a row each
+
+
+def improved(counts: dict[int, int], aim: dict[int, int], tries: int = 200, seed: int = 42) -> tuple[dict[int, int], list[int]]:
+    """Counts changed at random, a symbol at a time, each change kept if payloads with the counts aim need no more bits by its code; and the bits after each try."""
+    rng = np.random.default_rng(seed)
+
+    def cost(c):
+        codes = code_table(c)
+        return sum(n * codes[s][1] for s, n in aim.items())
+
+    symbols, best = sorted(counts), dict(counts)
+    bits = [cost(best)]
+    for _ in range(tries):
+        s = symbols[int(rng.integers(len(symbols)))]
+        changed = best | {s: max(1, int(best[s] * np.exp(rng.normal())))}
+        now = cost(changed)
+        if now <= bits[-1]:
+            best = changed
+        bits.append(min(now, bits[-1]))
+    return best, bits
+
+
+@query("huffman_table_search")
+def huffman_table_search(spark, d):
+    """A table for the corpus found from equal counts by random changes: its bits after each try. Only the 257 counts come to the driver."""
+    aim = counts_of(texts(spark, d))
+    bits = improved(dict.fromkeys(aim, 1), aim)[1]
+    return spark.createDataFrame(list(enumerate(bits)), "attempt int, bits long")
+
+
 def coded(df: DataFrame) -> DataFrame:
     """frame_no, raw and coded bytes, and whether decoding gives the payload back."""
     worker_path(df.sparkSession)

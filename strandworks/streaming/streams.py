@@ -10,11 +10,11 @@ import uuid
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..registry import query
-from ..tables import sql, table
+from ..tables import class_log, r4, sql, table
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -39,18 +39,25 @@ def stream_of(spark: SparkSession, d: str, name: str) -> DataFrame:
     return reader.parquet(f"{d}/{name}.parquet")
 
 
-def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all there is and returns what it wrote. Append mode only: complete results go by batches."""
+def drained(stream: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Runs a stream over all there is, in append mode, and returns what it wrote, in a folder for each value of the columns by."""
     spark = stream.sparkSession
     out, state = folder(spark, name), folder(spark, f"{name}-state")
-    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.format("parquet").partitionBy(*by).option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def by_batches(stream: DataFrame, name: str, handle: Callable[[DataFrame, str], DataFrame], mode: str = "append") -> DataFrame:
-    """Runs a stream batch by batch, each written to a folder of its own number, so that a repeated batch replaces itself; returns all batches."""
+def passed_over(stream: DataFrame, name: str) -> str:
+    """A state in which the files that are there now count as seen; their records aren't read."""
+    state = folder(stream.sparkSession, f"{name}-state")
+    stream.writeStream.foreachBatch(lambda batch, number: None).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return state
+
+
+def by_batches(stream: DataFrame, name: str, handle: Callable[[DataFrame, str], DataFrame], mode: str = "append", state: str | None = None) -> DataFrame:
+    """Runs a stream batch by batch, from a state if one is named, each written to a folder of its own number, so that a repeated batch replaces itself; returns all batches."""
     spark = stream.sparkSession
-    out, state = folder(spark, name), folder(spark, f"{name}-state")
+    out, state = folder(spark, name), state or folder(spark, f"{name}-state")
 
     def write(batch: DataFrame, number: int) -> None:
         handle(batch, out).write.mode("overwrite").parquet(f"{out}/batch={number}")
@@ -71,16 +78,28 @@ def stream_watch(spark, d):
     return drained(log_stream(spark, d).select("log_id", "filename", "predicted_class", (F.col("confidence") < 0.6).alias("uncertain")), "watch")
 
 
+@query("stream_watch_new", sql("class_log", body="SELECT log_id, predicted_class FROM class_log WHERE log_id%3<>0"))
+def stream_watch_new(spark, d):
+    """Records of the files that come after the watch began; those in the folder at its start are passed over."""
+    path, log = folder(spark, "inbox"), class_log(spark, d).select("log_id", "predicted_class")
+    log.where("log_id % 3 = 0").write.parquet(path)
+    inbox = spark.readStream.schema(log.schema).parquet(path)
+    state = passed_over(inbox, "watch-new")
+    log.where("log_id % 3 <> 0").write.mode("append").parquet(path)
+    return by_batches(inbox, "watch-new", lambda b, _: b, state=state).select(*log.columns)
+
+
 @query("stream_dedup", sql("class_log", body="SELECT DISTINCT filename FROM class_log"))
 def stream_dedup(spark, d):
     """File names, each once, remembered in the query's state."""
     return drained(log_stream(spark, d).select("filename").dropDuplicates(["filename"]), "dedup")
 
 
-@query("stream_route", sql("class_log", body="SELECT log_id, concat('pending/', predicted_class) AS folder, predicted_class FROM class_log"))
+@query("stream_route", sql("class_log", body="SELECT log_id, concat('predicted_class=', predicted_class) AS folder, predicted_class FROM class_log"))
 def stream_route(spark, d):
-    """Records routed to a folder for each class, batch by batch."""
-    return by_batches(log_stream(spark, d), "route", lambda b, _: b.select("log_id", F.concat(F.lit("pending/"), "predicted_class").alias("folder"), "predicted_class")).select("log_id", "folder", "predicted_class")
+    """Records routed to a folder for each class, and the name of the folder that each is found in."""
+    routed = drained(log_stream(spark, d).select("log_id", "predicted_class"), "pending", by=("predicted_class",))
+    return routed.select("log_id", F.regexp_extract(F.input_file_name(), "/([^/]+)/[^/]+$", 1).alias("folder"), "predicted_class")
 
 
 @query("tumbling_power", "SELECT user_id AS device, time_bucket(INTERVAL '1 hour', CAST(ts AS TIMESTAMP)) AS hour, floor(avg(value)*1e4+0.5e0)/1e4 AS watts, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY ALL")
@@ -93,6 +112,62 @@ def tumbling_power(spark, d):
     return got.groupBy("device", "hour").agg(F.max_by(F.struct("watts", "n"), "batch").alias("r")).select("device", F.col("hour").cast("timestamp_ntz").alias("hour"), "r.watts", "r.n")
 
 
+def timed(spark, d) -> DataFrame:
+    """Events with a watermark a day behind the latest: later ones of an earlier file are dropped, and windows that ended before it are complete."""
+    e = stream_of(spark, d, "events").select("event_id", F.col("user_id").alias("device"), "event_type", F.col("ts").cast("timestamp").alias("ts"), "value")
+    return e.withWatermark("ts", "1 day")
+
+
+#: What has ended before the watermark; the watermark counts whole milliseconds.
+_COMPLETE = "<= (SELECT date_trunc('millisecond', max(CAST(ts AS TIMESTAMP))) - INTERVAL '1 day' FROM events)"
+
+
+def _local(c: str) -> Column:
+    return F.col(c).cast("timestamp_ntz")
+
+
+@query("watermarked_power", f"SELECT device, hour, floor(v*1e4+0.5e0)/1e4 AS watts, n FROM (SELECT user_id AS device, time_bucket(INTERVAL '1 hour', CAST(ts AS TIMESTAMP)) AS hour, avg(value) AS v, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1, 2) WHERE hour + INTERVAL '1 hour' {_COMPLETE}")
+def watermarked_power(spark, d):
+    """Mean power of each device by hours that are complete, each written once; the state holds a day of hours."""
+    w = timed(spark, d).groupBy("device", F.window("ts", "1 hour").alias("w")).agg(F.avg("value").alias("v"), F.count("*").alias("n"))
+    return drained(w.select("device", F.col("w.start").alias("hour"), "v", "n"), "watermarked").select("device", _local("hour").alias("hour"), r4(F.col("v")).alias("watts"), "n")
+
+
+@query("sliding_power", f"SELECT start, floor(v*1e4+0.5e0)/1e4 AS watts, n FROM (SELECT time_bucket(INTERVAL '1 hour', CAST(ts AS TIMESTAMP)) - k * INTERVAL '1 hour' AS start, avg(value) AS v, CAST(count(*) AS BIGINT) AS n FROM events, range(3) t(k) GROUP BY 1) WHERE start + INTERVAL '3 hours' {_COMPLETE}")
+def sliding_power(spark, d):
+    """Mean power by windows of three hours that begin every hour, once complete."""
+    w = timed(spark, d).groupBy(F.window("ts", "3 hours", "1 hour").alias("w")).agg(F.avg("value").alias("v"), F.count("*").alias("n"))
+    return drained(w.select(F.col("w.start").alias("start"), "v", "n"), "sliding").select(_local("start").alias("start"), r4(F.col("v")).alias("watts"), "n")
+
+
+@query("device_sessions", f"WITH g AS (SELECT user_id, CAST(ts AS TIMESTAMP) AS ts, CASE WHEN CAST(ts AS TIMESTAMP) <= lag(CAST(ts AS TIMESTAMP)) OVER w + INTERVAL '6 hours' THEN 0 ELSE 1 END AS first FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(first) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM g) SELECT user_id AS device, min(ts) AS start, max(ts) + INTERVAL '6 hours' AS stop, CAST(count(*) AS BIGINT) AS n FROM s GROUP BY user_id, s HAVING max(ts) + INTERVAL '6 hours' {_COMPLETE}")
+def device_sessions(spark, d):
+    """Stretches of readings of a device with no more than six hours between them, once complete."""
+    w = timed(spark, d).groupBy("device", F.session_window("ts", "6 hours").alias("w")).agg(F.count("*").alias("n"))
+    return drained(w.select("device", F.col("w.start").alias("start"), F.col("w.end").alias("stop"), "n"), "sessions").select("device", _local("start").alias("start"), _local("stop").alias("stop"), "n")
+
+
+@query("followed_errors", "SELECT e.event_id AS error_id, p.event_id AS view_id FROM events e JOIN events p ON e.user_id=p.user_id AND p.ts BETWEEN e.ts AND e.ts + INTERVAL '2 hours' WHERE e.event_type='error' AND p.event_type='view'")
+def followed_errors(spark, d):
+    """Errors with the views of the same device in the two hours after: a join of two streams, whose state the watermarks and the time between bound."""
+    error = timed(spark, d).where("event_type = 'error'").select(F.col("event_id").alias("error_id"), "device", F.col("ts").alias("failed"))
+    view = timed(spark, d).where("event_type = 'view'").select(F.col("event_id").alias("view_id"), F.col("device").alias("viewer"), F.col("ts").alias("viewed"))
+    return drained(error.join(view, F.expr("device = viewer AND viewed BETWEEN failed AND failed + INTERVAL 2 HOURS")).select("error_id", "view_id"), "followed")
+
+
+def lines_after(log: DataFrame, cursor: int, most: int = 2000) -> DataFrame:
+    """line and next: up to so many lines after a cursor, in order, and the cursor to ask with afterwards. Lines are found by number, so none is lost however far behind a reader is."""
+    page = log.where(F.col("line") > cursor).orderBy("line").limit(most)
+    return page.withColumn("next", F.max("line").over(Window.partitionBy(F.lit(0))))  # a page
+
+
+@query("log_cursor", "WITH c AS (SELECT max(event_id)//4 AS c FROM events), p AS (SELECT event_id AS line FROM events, c WHERE event_id > c ORDER BY event_id LIMIT 2000) SELECT line, max(line) OVER () AS next FROM p")
+def log_cursor(spark, d):
+    """The page of a log after a cursor at its first quarter."""
+    log = table(spark, d, "events").select(F.col("event_id").alias("line"))
+    return lines_after(log, (log.agg(F.max("line")).first()[0] or 0) // 4)
+
+
 @query("log_tail", "SELECT event_id FROM events ORDER BY event_id DESC LIMIT 2000")
 def log_tail(spark, d):
     """The last 2000 lines of a log."""
