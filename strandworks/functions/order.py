@@ -39,3 +39,13 @@ def with_running_sum(df: DataFrame, key: str, columns: dict[str, str]) -> DataFr
     totals = totals.select("_s", *(F.coalesce(F.sum(f"_t{k}").over(before), F.lit(0)).alias(f"_b{k}") for k in range(len(columns))))
     out = cut.select("*", *(F.sum(c).over(w).alias(f"_w{k}") for k, c in enumerate(columns.values()))).join(totals, "_s")
     return out.withColumns({o: F.col(f"_w{k}") + F.col(f"_b{k}") for k, o in enumerate(columns)}).drop("_s", *(f"_w{k}" for k in range(len(columns))), *(f"_b{k}" for k in range(len(columns))))
+
+
+def with_number(df: DataFrame, group: str, key: str, out: str) -> DataFrame:
+    """Adds a row's number from 1 within its group, in order of a unique integer key. A group is numbered by stretches of the key, so the largest is dealt over as many tasks; null groups are one group."""
+    cut = df.withColumn("_s", stretch(F.col(key), bounds_of(df, key)))
+    before = Window.partitionBy("_g").orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)  # a row a stretch
+    counts = cut.groupBy(F.col(group).alias("_g"), F.col("_s").alias("_t")).agg(F.count("*").alias("_c"))
+    counts = counts.select("_g", "_t", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_b"))
+    numbered = cut.withColumn("_n", F.row_number().over(Window.partitionBy(group, "_s").orderBy(key)))
+    return numbered.join(counts, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_s") == F.col("_t"))).withColumn(out, F.col("_n") + F.col("_b")).drop("_s", "_t", "_g", "_n", "_b")

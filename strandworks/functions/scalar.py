@@ -94,7 +94,7 @@ def q_short_bytes(spark, d):
     return headers(spark, d).select("frame_no", "trace_in_frame", be_hex(h.bitwiseAND(65535), 4).alias("b"), F.shiftright(h, 8).bitwiseAND(255).alias("high"), h.bitwiseAND(255).alias("low"))
 
 
-@query("utf16_bytes")
+@query("utf16_bytes", "SELECT c_custkey, array_to_string(list_transform(string_split(c_name, ''), lambda c: upper(printf('%04x', unicode(c)))), '') AS b, true AS same FROM customer")
 def q_utf16(spark, d):
     """Texts to UTF-16BE bytes and back."""
     b = F.encode("c_name", "UTF-16BE")
@@ -160,7 +160,7 @@ def q_band(spark, d):
     return class_log(spark, d).select("log_id", accuracy_band(F.col("confidence")).alias("band"))
 
 
-@query("float_bits")
+@query("float_bits", "SELECT CAST(vec_id AS BIGINT) AS trace_id, CAST(embedding[1] AS FLOAT) AS x, CAST(CAST(CAST(embedding[1] AS FLOAT) AS BIT) AS INT) AS bits, true AS same FROM embeddings")
 def q_float_bits(spark, d):
     """The bits of each trace's first sample as an integer, by way of an Arrow function over whole columns, and back."""
     from pyspark.sql.functions import pandas_udf

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.order import with_number
 from ..registry import query
 from ..tables import class_log, r4, sql, table, traces
 
@@ -91,8 +92,8 @@ _EPOCH = "e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY
 
 def epochs(spark, d) -> DataFrame:
     """Users as runs, their events in order as epochs, a scaled value as accuracy."""
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    return table(spark, d, "events").select("user_id", F.row_number().over(w).cast("long").alias("epoch"), "event_id", (F.col("value") / (F.col("value") + 50.0)).alias("acc"))
+    e = table(spark, d, "events").select("user_id", "event_id", (F.col("value") / (F.col("value") + 50.0)).alias("acc"))
+    return with_number(e, "user_id", "event_id", "epoch")
 
 
 @query("epoch_metrics", f"WITH {_EPOCH} SELECT CAST(epoch AS BIGINT) AS epoch, floor(sum(acc*(event_id%5+1))/sum(event_id%5+1)*1e4+0.5e0)/1e4 AS accuracy, CAST(sum(event_id%5+1) AS BIGINT) AS n FROM e GROUP BY 1")
