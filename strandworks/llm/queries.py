@@ -7,6 +7,7 @@ from .packing import op3_packing
 from .pieces import op9_sentencepiece
 from .quality import OP2_SQL, op2_quality
 from .secrets import op7_secrets
+from .shards import OP13_SQL, op13_sharding
 from .simhash import op10_simhash
 from .simple8b import op1_simple8b
 from .toxicity import op8_toxicity
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_simhash": op10_simhash,
+    "op13_sharding": op13_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_quality": OP2_SQL, "op5_warc": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_quality": OP2_SQL, "op5_warc": OP5_SQL, "op13_sharding": OP13_SQL}
