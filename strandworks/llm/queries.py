@@ -12,6 +12,7 @@ from .simhash import op10_simhash
 from .simple8b import op1_simple8b
 from .toxicity import op8_toxicity
 from .warc import OP5_SQL, op5_warc
+from .whitening import op12_whitening
 from .winnow import op4_winnowing
 
 QUERIES = {
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_simhash": op10_simhash,
+    "op12_whitening": op12_whitening,
     "op13_sharding": op13_sharding,
 }
 
