@@ -6,6 +6,7 @@ from .language import op6_language
 from .packing import op3_packing
 from .pieces import op9_sentencepiece
 from .quality import OP2_SQL, op2_quality
+from .repair import OP11_SQL, op11_repair
 from .secrets import op7_secrets
 from .shards import OP13_SQL, op13_sharding
 from .simhash import op10_simhash
@@ -26,8 +27,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_simhash": op10_simhash,
+    "op11_repair": op11_repair,
     "op12_whitening": op12_whitening,
     "op13_sharding": op13_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_quality": OP2_SQL, "op5_warc": OP5_SQL, "op13_sharding": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_quality": OP2_SQL, "op5_warc": OP5_SQL, "op11_repair": OP11_SQL, "op13_sharding": OP13_SQL}
