@@ -5,12 +5,14 @@ records, for every byte it puts out, the source byte it came from. Ids come from
 normalised bytes, so the record projects each to its source bytes.
 
 Where no piece has a space mark after another character and normalisation only changes space marks, merges never cross into a space mark, and texts are encoded by their
-chunks (marks and what follows them), looked up many at a time in a bounded table. The projection is then a sum of what each piece takes of the source.
+chunks (marks and what follows them), looked up many at a time in a bounded table. The table has for each piece of a chunk its id and the source byte at which it ends in the
+chunk, by the normaliser's record of the chunk; with the chunk's place in its text that is where the piece ends in the text, and where the next begins.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from functools import cached_property
 from itertools import accumulate
 
@@ -112,9 +114,15 @@ class Normalizer:
                 at += taken
         if at == len(source):
             return b"", [0]
-        if not self.map.units and not self.squeeze and b" " not in source and text.isascii():  # copied as it is
+        if not self.map.units and not self.squeeze:
             lead = space if self.dummy_prefix else b""
-            return lead + source, [0] * len(lead) + list(range(len(source) + 1))
+            if b" " not in source and text.isascii():  # copied as it is
+                return lead + source, [0] * len(lead) + list(range(len(source) + 1))
+            if len(source) > 64:
+                raw, place = np.frombuffer(source, np.uint8), np.arange(len(source))
+                begin = np.maximum.accumulate(np.where(raw & 0xC0 == 0x80, 0, place))  # of the character
+                origin = np.repeat(begin, np.where(raw == 32, len(space), 1))
+                return lead + source.replace(b" ", space), [0] * len(lead) + origin.tolist() + [len(source)]
 
         def put(piece: bytes, begin: int) -> None:
             out.extend(piece)
@@ -150,16 +158,21 @@ class PieceCoder:
         pieces = [self.library.id_to_piece(i) for i in range(self.library.get_piece_size())]
         self.byte = [self.library.is_byte(i) for i in range(len(pieces))]
         self.size = [1 if b else len(p.encode()) for p, b in zip(pieces, self.byte)]
-        #: source bytes of each piece where only space marks differ from the source
-        self.source = np.array([n if b else n - p.count(MARK) * (len(MARK.encode()) - 1) for p, b, n in zip(pieces, self.byte, self.size)], np.int64)
         self.unknown, self.mark = self.library.unk_id(), self.library.piece_to_id(MARK)
         n = self.normalizer
         self.by_chunk = n.dummy_prefix and n.escape and not n.squeeze and not n.map.units and not any(MARK in p.lstrip(MARK) for p in pieces)
-        self.table = SegmentTable(self._ask, most)
+        self.table = SegmentTable(self._ask, most, np.uint64)
 
     def _ask(self, chunks: list[str]) -> list[list[int]]:
-        """Ids of chunks led by a space or more: the normaliser's prefix stands for the first of them."""
-        return [ids or [self.mark] for ids in self.library.encode([c[1:] for c in chunks], num_threads=1)]
+        """Pieces of chunks led by a space or more, each as its id and, 32 bits higher, where it ends in the chunk: the normaliser's prefix stands for the first space."""
+        out = []
+        for chunk, ids in zip(chunks, self.library.encode([c[1:] for c in chunks], num_threads=1)):
+            if ids:
+                _, origin = self.normalizer.align(chunk[1:])
+                out.append([i | (1 + origin[e]) << 32 for i, e in zip(ids, self._ends(chunk[1:], ids))])
+            else:
+                out.append([self.mark | 1 << 32])
+        return out
 
     def _ends(self, text: str, ids: list[int]) -> list[int]:
         """Where each piece ends in the normalised bytes."""
@@ -178,38 +191,45 @@ class PieceCoder:
         ends = self._ends(text, ids)
         return ids, [(origin[a], origin[b]) for a, b in zip([0, *ends[:-1]], ends)]
 
-    def encode(self, column) -> tuple[list[list[int]], np.ndarray]:
-        """Ids of each text of an Arrow column (null: empty), and how many source bytes its pieces project to."""
+    def encode(self, column) -> tuple[list[list[int]], list[np.ndarray]]:
+        """Ids of each text of an Arrow column (null: empty), and the source bytes of its pieces as rows (begin, end) of unsigned 32-bit numbers."""
         import pyarrow as pa
         import pyarrow.compute as pc
 
         filled = pc.fill_null(column, "")
+        spans_of = lambda pairs: np.array(pairs, "<u4").reshape(-1, 2)
         if not self.by_chunk:
             got = [self.aligned(t) for t in filled.to_pylist()]
-            return [g[0] for g in got], np.array([g[1][-1][1] if g[1] else 0 for g in got], np.int64)
+            return [g[0] for g in got], [spans_of(g[1]) for g in got]
         data, bounds = text_bytes(pc.binary_join_element_wise("", filled, pa.scalar(" ", filled.type)))  # the prefix as a space of its own
         begins = data == 32
         begins[1:] &= data[:-1] != 32
         begins[bounds[:-1]] = True
         (starts,) = np.nonzero(begins)
-        ids, counts = self.table.look_up(data, starts, np.diff(np.append(starts, len(data))))
-        cuts = np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(starts, bounds)]
-        covered = np.concatenate([[0], np.cumsum(self.source[ids])])[cuts]
-        flat, cuts = ids.tolist(), cuts.tolist()
-        out, covered = [flat[a:b] for a, b in zip(cuts, cuts[1:])], np.diff(covered) - 1
+        found, counts = self.table.look_up(data, starts, np.diff(np.append(starts, len(data))))
+        first = np.searchsorted(starts, bounds)  # chunk of each text
+        cuts = np.concatenate([[0], np.cumsum(counts)])[first]
+        # a piece ends in its text where its chunk begins there, without the prefix, and as far on as the record of the chunk says
+        spans = np.zeros((len(found), 2), "<u4")
+        spans[:, 1] = np.repeat(starts - np.repeat(bounds[:-1], np.diff(first)) - 1, counts) + (found >> np.uint64(32)).astype(np.int64)
+        spans[1:, 0] = spans[:-1, 1]
+        spans[cuts[:-1][cuts[:-1] < len(spans)], 0] = 0
+        flat, cuts = (found & np.uint64(0xFFFFFFFF)).tolist(), cuts.tolist()
+        out, parts = [flat[a:b] for a, b in zip(cuts, cuts[1:])], [spans[a:b] for a, b in zip(cuts, cuts[1:])]
         special = pc.or_(pc.equal(filled, ""), pc.match_substring(filled, MARK)).to_numpy(zero_copy_only=False)
         for k in np.nonzero(special | np.array([self.unknown in x for x in out], bool))[0].tolist():
-            out[k], spans = self.aligned(filled[k].as_py())
-            covered[k] = spans[-1][1] if spans else 0
-        return out, covered
+            out[k], pairs = self.aligned(filled[k].as_py())
+            parts[k] = spans_of(pairs)
+        return out, parts
 
-    def digest(self, column, end_id: int) -> tuple[list[int], list[str], list[str], np.ndarray]:
-        """Of each text's ids with the end id: how many, their sha256; the sha256 of the decoded text; the source bytes that the pieces cover."""
-        ids, covered = self.encode(column)
+    def digest(self, column, end_id: int) -> tuple[list[int], list[str], list[str], list[int], list[int]]:
+        """Of each text's ids with the end id: how many, their sha256; the sha256 of the decoded text; the source byte at which the last piece ends; the crc32 of all pieces' begins and ends."""
+        ids, spans = self.encode(column)
         for x in ids:
             x.append(end_id)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        return list(map(len, ids)), [sha(" ".join(map(self._decimal, x))) for x in ids], [sha(t) for t in self.library.decode(ids, num_threads=1)] if ids else [], covered
+        decoded = [sha(t) for t in self.library.decode(ids, num_threads=1)] if ids else []
+        return list(map(len, ids)), [sha(" ".join(map(self._decimal, x))) for x in ids], decoded, [int(s[-1, 1]) if len(s) else 0 for s in spans], [zlib.crc32(np.ascontiguousarray(s)) for s in spans]
 
     @cached_property
     def _decimal(self):
@@ -233,15 +253,17 @@ def encode_documents(docs: DataFrame, model: str) -> DataFrame:
 
         enc = coder(model)
         for batch in common.short(batches):
-            got = [enc.aligned(t.as_py() or "") for t in batch.column(1)]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "ids": pa.array([g[0] for g in got], pa.list_(pa.int32())), "begins": pa.array([[s[0] for s in g[1]] for g in got], pa.list_(pa.int32())), "ends": pa.array([[s[1] for s in g[1]] for g in got], pa.list_(pa.int32()))})
+            ids, spans = enc.encode(batch.column(1))
+            ends = [pa.array([s[:, k].astype(np.int32) for s in spans], pa.list_(pa.int32())) for k in range(2)]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "ids": pa.array(ids, pa.list_(pa.int32())), "begins": ends[0], "ends": ends[1]})
 
     return docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, ids array<int>, begins array<int>, ends array<int>")
 
 
 def digest_documents(docs: DataFrame, model: str, end_id: int | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and covered_bytes (source bytes that pieces project to) of each document, in one pass.
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, covered_bytes (where the last piece ends in the source) and spans_crc32 of each document, in one pass.
 
+    spans_crc32 is the crc32 of the source bytes at which each piece but the end id begins and ends, as little-endian unsigned 32-bit numbers.
     Null text counts as empty (the end id alone); very long texts are worked on by themselves; repeated rows stay; an empty table gives no rows.
     """
 
@@ -253,13 +275,13 @@ def digest_documents(docs: DataFrame, model: str, end_id: int | None = None) ->
         enc = coder(model)
         end = enc.library.eos_id() if end_id is None else end_id
         for batch in common.short(batches):
-            n, ids, decoded, covered = enc.digest(batch.column(1), end)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids, pa.string()), "decoded_sha256": pa.array(decoded, pa.string()), "covered_bytes": pa.array(covered, pa.int64())})
+            n, ids, decoded, covered, spans = enc.digest(batch.column(1), end)
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids, pa.string()), "decoded_sha256": pa.array(decoded, pa.string()), "covered_bytes": pa.array(covered, pa.int64()), "spans_crc32": pa.array(spans, pa.int64())})
 
-    return docs.select("doc_id", "text").mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, covered_bytes long")
+    return docs.select("doc_id", "text").mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, covered_bytes long, spans_crc32 long")
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digest of ids and decoded text of every document: doc_id, n_tokens, ids_sha256, decoded_sha256, covered_bytes."""
+    """Digest of ids, decoded text and pieces' source bytes of every document: doc_id, n_tokens, ids_sha256, decoded_sha256, covered_bytes, spans_crc32."""
     common.prepare(spark)
     return digest_documents(common.table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))

@@ -1,4 +1,4 @@
-"""A table from short runs of bytes to runs of ids, looked up many at a time with array operations.
+"""A table from short runs of bytes to runs of ids (or of ids with what else belongs to them), looked up many at a time with array operations.
 
 A key is up to KEY_BYTES bytes and its length, held in four 64-bit words and compared in full, so that a lookup is exact. What the table lacks is asked for
 once a batch, all of it together; it is kept while there is room, and forgotten after the batch once there is none. Results never depend on what is kept.
@@ -31,14 +31,14 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
 
 
 class SegmentTable:
-    def __init__(self, ask: Callable[[list[str]], list[list[int]]], most: int = MOST_KEYS):
-        """ask: the ids of each of a list of segments."""
+    def __init__(self, ask: Callable[[list[str]], list[list[int]]], most: int = MOST_KEYS, kind=np.uint32):
+        """ask: the ids of each of a list of segments, as numbers of a kind."""
         self.ask, self.most, self.n, self.used = ask, most, 0, 0
         self.bits = max(8, (2 * most).bit_length())
         self.slots = np.full(1 << self.bits, -1, np.int32)
         self.keys = np.zeros((1024, 4), np.uint64)
         self.begins, self.counts = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
-        self.ids = np.zeros(4096, np.uint32)
+        self.ids = np.zeros(4096, kind)
 
     def _keys(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         padded = np.concatenate([data, np.zeros(KEY_BYTES + 1, np.uint8)])
@@ -86,7 +86,7 @@ class SegmentTable:
     def look_up(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all segments, one after another, and how many each has."""
         if not len(starts):
-            return np.empty(0, np.uint32), np.empty(0, np.int64)
+            return np.empty(0, self.ids.dtype), np.empty(0, np.int64)
         keys = self._keys(data, starts, lengths)
         short = lengths <= KEY_BYTES
         entries = np.full(len(starts), -1, np.int64)
@@ -104,7 +104,7 @@ class SegmentTable:
                 at.append(seen[said])
             got = self.ask([s.decode() for s in seen])
             sizes = np.fromiter(map(len, got), np.int64, len(got))
-            flat = np.fromiter((i for x in got for i in x), np.uint32, int(sizes.sum()))
+            flat = np.fromiter((i for x in got for i in x), self.ids.dtype, int(sizes.sum()))
             self._room(self.n + len(got), self.used + len(flat))
             self.ids[self.used : self.used + len(flat)] = flat
             self.begins[self.n : self.n + len(got)] = self.used + np.cumsum(sizes) - sizes

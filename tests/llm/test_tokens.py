@@ -151,6 +151,14 @@ def coder():
     return pieces.PieceCoder(vocabulary("piece_bpe_32k.model"))
 
 
+def crc_of(spans):
+    return zlib.crc32(b"".join(v.to_bytes(4, "little") for s in spans for v in s))
+
+
+def librarys_spans(coder, text):
+    return [(p.begin, p.end) for p in coder.library.encode(text or "", return_type="proto").pieces]
+
+
 def test_pieces_and_spans_are_the_librarys(coder):
     random.seed(3)
     parts = ["a", "the", "b", " ", "  ", "\n", "é", "中", "▁", "\U0001f600", ".", "x", "<s>", "\t", "\x00", "ﬁ"]
@@ -160,7 +168,8 @@ def test_pieces_and_spans_are_the_librarys(coder):
         said = coder.library.encode(text, return_type="proto")
         assert ids == coder.library.encode(text)
         assert spans == [(p.begin, p.end) for p in said.pieces], repr(text)
-        ((n,), (sha,), (decoded,), (covered,)) = coder.digest(pa.array([text]), 2)
+        ((n,), (sha,), (decoded,), (covered,), (crc,)) = coder.digest(pa.array([text]), 2)
+        assert crc == crc_of(spans)
         ids = coder.library.encode(text, add_eos=True)
         assert (n, sha) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
         assert decoded == hashlib.sha256(coder.library.decode(ids).encode()).hexdigest()
@@ -193,9 +202,9 @@ def test_many_texts_at_once_are_the_librarys(coder):
     few = pieces.PieceCoder(vocabulary("piece_bpe_32k.model"), most=100)
     for _ in range(60):
         texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) if rng.random() > 0.03 else None for _ in range(100)]
-        ids, covered = few.encode(pa.array(texts, pa.string()))
+        ids, spans = few.encode(pa.array(texts, pa.string()))
         assert ids == [coder.library.encode(t or "") for t in texts]
-        assert covered.tolist() == [len((t or "").encode()) for t in texts]
+        assert [list(map(tuple, s.tolist())) for s in spans] == [librarys_spans(coder, t) for t in texts]
 
 
 def test_pieces_of_documents(spark, coder):
@@ -203,7 +212,21 @@ def test_pieces_of_documents(spark, coder):
     library = coder.library
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     ids = [(d, t or "", [*library.encode(t or ""), 2]) for d, t, *_ in ROWS]
-    want = sorted((str(d), len(i), sha(" ".join(map(str, i))), sha(library.decode(i)), len(t.encode())) for d, t, i in ids)
+    want = sorted((str(d), len(i), sha(" ".join(map(str, i))), sha(library.decode(i)), len(t.encode()), crc_of(librarys_spans(coder, t))) for d, t, i in ids)
     assert sorted((str(r[0]), *r[1:]) for r in map(tuple, got)) == want
     spans = pieces.encode_documents(documents(spark), vocabulary("piece_bpe_32k.model")).where("doc_id = 13").first()
     assert spans["begins"][0] == 0 and spans["ends"][-1] == 3
+
+
+def test_spans_of_real_texts_are_the_librarys(spark, small, coder):
+    texts = {r["doc_id"]: r["text"] for r in common.table(spark, small, "documents").select("doc_id", "text").collect()}
+    got = pieces.op9_sentencepiece(spark, small).collect()
+    assert {r["doc_id"]: r["spans_crc32"] for r in got} == {d: crc_of(librarys_spans(coder, t)) for d, t in texts.items()}
+
+
+def test_long_chunks_are_aligned_as_short_ones(coder):
+    rng = random.Random(8)
+    for n in (20, 70, 500):
+        for _ in range(20):
+            text = "".join(rng.choice(["é", "中", "a", "  ", "\U0001f600"]) for _ in range(n))
+            assert coder.aligned(text)[1] == librarys_spans(coder, text)
