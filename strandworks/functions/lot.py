@@ -43,6 +43,31 @@ def matrix(n: int, length: int) -> np.ndarray:
     return out
 
 
+def forward(x: np.ndarray, length: int) -> np.ndarray:
+    """The transform of the last axis, as by matrix(), block by block."""
+    n, half = x.shape[-1], length // 2
+    if n % length:
+        raise ValueError("samples must fill whole blocks")
+    wide = np.concatenate([x[..., :half][..., ::-1], x, x[..., n - half :][..., ::-1]], -1)
+    windows = np.lib.stride_tricks.sliding_window_view(wide, 2 * length, -1)[..., ::length, :]
+    return (windows @ functions(length).T).reshape(x.shape)
+
+
+def backward(y: np.ndarray, length: int) -> np.ndarray:
+    """The inverse of forward(): blocks overlap and are summed, and what lies beyond the edges is folded back."""
+    n, half = y.shape[-1], length // 2
+    if n % length:
+        raise ValueError("samples must fill whole blocks")
+    parts = y.reshape(*y.shape[:-1], n // length, length) @ functions(length)
+    wide = np.zeros((*y.shape[:-1], n + length))
+    wide[..., :n] += parts[..., :length].reshape(y.shape)
+    wide[..., length:] += parts[..., length:].reshape(y.shape)
+    x = wide[..., half : half + n].copy()
+    x[..., :half] += wide[..., :half][..., ::-1]
+    x[..., n - half :] += wide[..., half + n :][..., ::-1]
+    return x
+
+
 def coefficients(n: int, length: int) -> list[tuple[int, int, float]]:
     """(k, i, w) of the entries that aren't zero."""
     m = matrix(n, length)

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.coding import follow
 from ..registry import query
 from ..tables import headers, sql
 from .lapped import worker_path
@@ -42,6 +43,8 @@ class Codes:
         for s, (code, bits) in self.table.items():
             self.code[s], self.bits[s] = code, bits
         self.longest = int(self.bits.max())
+        self.order = np.array(sorted(self.table, key=lambda s: self.table[s][::-1]))
+        self.firsts = np.array([self.table[s][0] << (self.longest - self.table[s][1]) for s in self.order.tolist()], np.uint64)
 
     def encode(self, data: bytes) -> bytes:
         """The codes of bytes and of the end, first bits first, packed from the low bits of each byte up."""
@@ -54,29 +57,26 @@ class Codes:
         return np.packbits((np.repeat(self.code[s], bits) >> left.astype(np.uint64)).astype(np.uint8) & 1, bitorder="little").tobytes()
 
     def decode(self, data: bytes) -> bytes:
-        """Steps from code to code: where each begins is known when the one before is."""
+        """What code would begin at each place is found for all places at once; then those that follow one another from the first."""
         raw = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little")
         padded = np.append(raw, np.zeros(self.longest, np.uint8)).astype(np.uint64)
         ahead = np.zeros(len(raw), np.uint64)  # the next bits at each place
         for k in range(self.longest):
             ahead = ahead << np.uint64(1) | padded[k : k + len(raw)]
         # canonical codes, left-aligned, are in order: the last that isn't larger is the one
-        order = sorted(self.table, key=lambda s: self.table[s][::-1])
-        firsts = np.array([self.table[s][0] << (self.longest - self.table[s][1]) for s in order], np.uint64)
-        found = np.array(order)[np.searchsorted(firsts, ahead, side="right") - 1]
-        symbols, steps, out, at = found.tolist(), self.bits[found].tolist(), bytearray(), 0
-        while at < len(symbols):
-            if symbols[at] == END:
-                return bytes(out)
-            out.append(symbols[at])
-            at += steps[at]
-        raise ValueError("the codes have no end")
+        found = self.order[np.searchsorted(self.firsts, ahead, side="right") - 1]
+        symbols = found[follow(np.arange(len(found)) + self.bits[found])]
+        (end,) = np.nonzero(symbols == END)
+        if not len(end):
+            raise ValueError("the codes have no end")
+        return symbols[: end[0]].astype(np.uint8).tobytes()
 
 
 def texts(spark, d) -> DataFrame:
-    """Payloads to code: the low byte of each header number of a frame, as bytes; a frame has at most 120 traces."""
-    h = headers(spark, d).groupBy("frame_no").agg(F.array_sort(F.collect_list(F.struct("trace_in_frame", F.col("h1").bitwiseAND(255).alias("b")))).alias("s"))
-    return h.select("frame_no", F.transform("s", lambda x: x["b"]).alias("bytes"))
+    """Payloads to code: all bytes of a frame's header numbers, big-endian, trace by trace; a frame has at most 120 traces."""
+    b = F.array(*(F.shiftright(h, s).bitwiseAND(255) for h in ("h0", "h1", "h2", "h3") for s in (24, 16, 8, 0)))
+    h = headers(spark, d).groupBy("frame_no").agg(F.array_sort(F.collect_list(F.struct("trace_in_frame", b.alias("b")))).alias("s"))
+    return h.select("frame_no", F.flatten(F.transform("s", lambda x: x["b"])).alias("bytes"))
 
 
 def histogram(df: DataFrame) -> DataFrame:
@@ -92,7 +92,7 @@ def table_of(df: DataFrame) -> dict[int, tuple[int, int]]:
     return code_table(counts_of(df))
 
 
-_H = "b AS (SELECT frame_no, h1 & 255 AS symbol FROM headers UNION ALL SELECT DISTINCT frame_no, 256 FROM headers)"
+_H = "b AS (SELECT frame_no, (v >> s) & 255 AS symbol FROM (SELECT frame_no, unnest([h0, h1, h2, h3]) AS v FROM headers), (VALUES (0), (8), (16), (24)) t(s) UNION ALL SELECT DISTINCT frame_no, 256 FROM headers)"
 
 
 @query("huffman_table", sql("headers", body=_H + " SELECT CAST(symbol AS INT) AS symbol, CAST(count(*) AS BIGINT) AS n FROM b GROUP BY 1"))
@@ -182,6 +182,6 @@ def huffman_bytes(spark, d):
     return coded(texts(spark, d)).select("frame_no", "raw", F.hex("coded").alias("coded"))
 
 
-@query("huffman_roundtrip", sql("headers", body="SELECT frame_no, CAST(count(*) AS BIGINT) AS raw, true AS same FROM headers GROUP BY 1"))
+@query("huffman_roundtrip", sql("headers", body="SELECT frame_no, CAST(16*count(*) AS BIGINT) AS raw, true AS same FROM headers GROUP BY 1"))
 def huffman_roundtrip(spark, d):
     return coded(texts(spark, d)).select("frame_no", "raw", "same")

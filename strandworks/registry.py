@@ -28,6 +28,7 @@ MODULES: tuple[str, ...] = (
     "strandworks.plans.compress",
     "strandworks.plans.frames",
     "strandworks.sources.segy",
+    "strandworks.sources.syz",
     "strandworks.sources.records",
     "strandworks.streaming.streams",
 )

@@ -1,4 +1,4 @@
-"""Trace files: a splittable source and a sink of SEG-Y-like files, and of compressed frames.
+"""Trace files: a splittable source and a sink of SEG-Y-like files.
 
 A file has a 3200-byte text header, a 400-byte header (big-endian shorts: traces a frame at 12, interval in microseconds at 16, samples a trace at 20), then records of 240 header
 bytes and big-endian 4-byte floats. Records have one length, so a file is read in ranges of records by independent tasks.
@@ -120,11 +120,6 @@ def read_segy(manifest: DataFrame) -> DataFrame:
     return ranges.repartition(max(1, ranges.count())).mapInArrow(run, "trace_id long, frame_key int, samples array<float>")
 
 
-def write_frames(df: DataFrame, path: str) -> None:
-    """Compressed frames as a Parquet table by volume, so that a volume is a folder and a frame range prunes row groups."""
-    df.sortWithinPartitions("volume", "frame_no").write.partitionBy("volume").parquet(path)
-
-
 @query("src_segy_header", "SELECT DISTINCT CAST(32 AS INT) AS traces_per_frame, 4.0e0 AS interval_ms, CAST(len(embedding) AS INT) AS samples FROM embeddings")
 def src_segy_header(spark: SparkSession, d: str) -> DataFrame:
     """Headers of the files that the traces were written to."""
@@ -137,12 +132,3 @@ def src_segy_traces(spark: SparkSession, d: str) -> DataFrame:
     got = read_segy(write_segy(traces(spark, d), folder(spark, "segy")))
     total = F.aggregate("samples", F.lit(0.0), lambda a, v: a + v.cast("double"))
     return got.select("trace_id", "frame_key", F.size("samples").alias("n"), (F.floor(total * 1e4 + 0.5) / 1e4 + F.lit(0.0)).alias("total"))
-
-
-@query("src_syz_header", "SELECT CAST(label AS INT) AS volume, CAST(count(*) AS BIGINT) AS frames FROM (SELECT DISTINCT label, floor(vec_id/32.0e0) AS f FROM embeddings) WHERE label BETWEEN 2 AND 5 AND f>=4 GROUP BY 1")
-def src_syz_header(spark: SparkSession, d: str) -> DataFrame:
-    """Frames from the fifth on of volumes 2 to 5, out of a table of compressed frames: volumes are pruned and the frame range is pushed down."""
-    path = folder(spark, "frames")
-    write_frames(traces(spark, d).select(F.col("frame_key").alias("volume"), "frame_no", "samples"), path)
-    got = spark.read.parquet(path).where("volume between 2 and 5 and frame_no >= 4")
-    return got.select("volume", "frame_no").distinct().groupBy("volume").agg(F.count("*").alias("frames"))
