@@ -31,6 +31,7 @@ MODULES: tuple[str, ...] = (
     "strandworks.sources.syz",
     "strandworks.sources.records",
     "strandworks.streaming.streams",
+    "strandworks.learning.training",
 )
 
 
