@@ -12,8 +12,10 @@ CLASSES = ("clean", "noise", "mixed")
 
 
 def hashed(key: Column) -> Column:
-    """A spread-out number below 2^32 of an integer key, the same in any engine."""
-    return (key.cast("long") * 2654435761) % 4294967296
+    """A spread-out number below 2^32 of an integer key, the same in any engine: (key * 2654435761) mod 2^32 by halves, so that no product passes 63 bits."""
+    low32 = F.pmod(key.cast("long"), F.lit(1 << 32))
+    high, low = F.shiftright(low32, 16), low32.bitwiseAND(0xFFFF)
+    return ((high * 2654435761 % 65536) * 65536 + low * 2654435761) % 4294967296
 
 
 def source_class(source: Column) -> Column:
@@ -46,8 +48,12 @@ def combined_dataset(spark, d):
 
 @query("label_index", "SELECT DISTINCT source AS class, CAST(dense_rank() OVER (ORDER BY source)-1 AS INT) AS label FROM documents")
 def label_index(spark, d):
-    """Class names in order, numbered from 0; there are few."""
-    return table(spark, d, "documents").select(F.col("source").alias("class")).distinct().withColumn("label", (F.row_number().over(Window.orderBy("class")) - 1).cast("int"))
+    """Class names in order, numbered from 0: those in ranges of names are numbered in each range, and moved by what is before it, from a table with a row a range."""
+    classes = table(spark, d, "documents").select(F.col("source").alias("class")).distinct()
+    cut = classes.withColumn("range", F.substring("class", 1, 2))
+    within = F.row_number().over(Window.partitionBy("range").orderBy("class"))
+    before = cut.groupBy("range").agg(F.count("*").alias("k")).withColumn("before", F.coalesce(F.sum("k").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return cut.join(before.withColumnRenamed("range", "r"), F.col("range").eqNullSafe(F.col("r"))).select("class", (within + F.col("before") - 1).cast("int").alias("label"))
 
 
 @query("class_counts", f"WITH {_MAPPED} SELECT c.class, CAST(count(doc_id) AS BIGINT) AS n, count(doc_id)=0 AS missing FROM (VALUES ('clean'),('noise'),('mixed'),('other')) c(class) LEFT JOIN m USING (class) GROUP BY 1")
@@ -90,10 +96,10 @@ def seeded_sample(spark, d):
 
 @query("first_per_category", "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) WHERE r<=2")
 def first_per_category(spark, d):
-    """The first two documents of each source. An aggregate that keeps two ids stands in for a window, so a large source isn't sorted in one task."""
-    firsts = table(spark, d, "documents").groupBy("source").agg(F.min("doc_id").alias("a"))
-    rest = table(spark, d, "documents").join(firsts, "source").where("doc_id > a").groupBy("source").agg(F.min("doc_id").alias("doc_id"))
-    return firsts.select("source", F.col("a").alias("doc_id")).unionByName(rest)
+    """The first two documents of each source, by stretches of ids: the first two of a source in each stretch, then of those the first two, so a large source isn't sorted in one task and the table is read once."""
+    docs = table(spark, d, "documents").select("source", "doc_id")
+    first_two = lambda df, *by: df.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("doc_id"))).where("r <= 2").drop("r")
+    return first_two(first_two(docs.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(64))), "source", "part"), "source").drop("part")
 
 
 @query("insert_if_absent", "SELECT doc_id, source, 'old' AS state FROM documents WHERE doc_id%3<>0 UNION ALL SELECT doc_id, source, 'new' FROM documents WHERE doc_id%3=0")

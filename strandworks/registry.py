@@ -25,13 +25,16 @@ MODULES: tuple[str, ...] = (
     "strandworks.operators.entropy",
     "strandworks.operators.spectral",
     "strandworks.operators.geometry",
+    "strandworks.operators.asof",
     "strandworks.plans.compress",
     "strandworks.plans.frames",
     "strandworks.sources.segy",
     "strandworks.sources.syz",
     "strandworks.sources.records",
     "strandworks.streaming.streams",
+    "strandworks.streaming.stateful",
     "strandworks.learning.training",
+    "strandworks.learning.draws",
 )
 
 
