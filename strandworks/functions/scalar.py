@@ -118,10 +118,15 @@ def q_regex_metric(spark, d):
     return table(spark, d, "events").select("event_id", F.nullif(F.regexp_extract("props", "([0-9]+)", 1), F.lit("")).try_cast("long").alias("metric"))
 
 
+def row_of_key(key: Column) -> Column:
+    """The row of a key bucket$row,...; null where that is no number."""
+    return F.substring_index(F.substring_index(key, "$", -1), ",", 1).try_cast("long")
+
+
 @query("trace_key_parse", "SELECT o_orderkey, split_part(k, '$', 1) AS bucket, CAST(split_part(split_part(k, '$', 2), ',', 1) AS BIGINT) AS row_no FROM (SELECT o_orderkey, concat('bucket', CAST(o_orderkey%7 AS VARCHAR), '$', CAST(o_custkey AS VARCHAR), ',:3,:6000') AS k FROM orders)")
 def q_trace_key(spark, d):
     k = F.concat(F.lit("bucket"), (F.col("o_orderkey") % 7).cast("string"), F.lit("$"), F.col("o_custkey").cast("string"), F.lit(",:3,:6000"))
-    return table(spark, d, "orders").select("o_orderkey", F.substring_index(k, "$", 1).alias("bucket"), F.substring_index(F.substring_index(k, "$", -1), ",", 1).cast("long").alias("row_no"))
+    return table(spark, d, "orders").select("o_orderkey", F.substring_index(k, "$", 1).alias("bucket"), row_of_key(k).alias("row_no"))
 
 
 @query("html_escape", "SELECT page_id, sha256(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS escaped FROM pages")

@@ -90,3 +90,107 @@ def stft_power(spark, d):
     t = apply_matrix(traces(spark, d), "samples", m, "s")
     power = F.zip_with(F.slice("s", 1, half), F.slice("s", half + 1, half), lambda c, s: r4(c * c + s * s))
     return t.select("trace_id", F.posexplode(power).alias("at", "power")).select("trace_id", F.floor(F.col("at") / bins).cast("int").alias("frame"), (F.col("at") % bins).cast("int").alias("bin"), "power")
+
+
+#: The two settings: rate, samples of a frame, from frame to frame, bands, and the bands' lowest and highest frequency.
+TREMOR, AUDIO = (100.0, 256, 10, 128, 1.0, 45.0), (22_050.0, 2048, 512, 128, 0.0, 11_025.0)
+#: Frames worked on at once.
+FRAMES_AT_ONCE = 1024
+
+
+def slaney_bands(rate: float, frame: int, bands: int, low: float, high: float) -> np.ndarray:
+    """Triangular bands of equal area (bands x bins), evenly spaced in a scale that is straight up to 1000 Hz (15 mel) and logarithmic above (27 mel to 6400 Hz)."""
+    step, corner = 200 / 3, 1000.0
+    rise = np.log(6.4) / 27
+    to_mel = lambda f: f / step if f < corner else corner / step + np.log(f / corner) / rise
+    m = np.linspace(to_mel(low), to_mel(high), bands + 2)
+    edges = np.where(m < corner / step, m * step, corner * np.exp(rise * (np.maximum(m, corner / step) - corner / step)))
+    f = np.arange(frame // 2 + 1) * rate / frame
+    up = (f - edges[:-2, None]) / np.diff(edges)[:-1, None]
+    down = (edges[2:, None] - f) / np.diff(edges)[1:, None]
+    return np.maximum(0, np.minimum(up, down)) * (2 / (edges[2:] - edges[:-2]))[:, None]
+
+
+def mel_power(x: np.ndarray, frame: int, hop: int, bands: np.ndarray) -> np.ndarray:
+    """Mel power (frames x bands) of one signal of any length: frames centred at every hop, zeros beyond the ends, a Hann window, the FFT. Frames are worked on in stretches that overlap by a frame's length."""
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(frame) / frame)
+    wide = np.concatenate([np.zeros(frame // 2), x, np.zeros(frame // 2)])
+    n = 1 + len(x) // hop
+    out = np.empty((n, len(bands)))
+    for a in range(0, n, FRAMES_AT_ONCE):
+        b = min(n, a + FRAMES_AT_ONCE)
+        part = wide[a * hop : (b - 1) * hop + frame]
+        some = np.lib.stride_tricks.sliding_window_view(part, frame)[::hop]
+        out[a:b] = (np.abs(np.fft.rfft(some * window)) ** 2) @ bands.T
+    return out
+
+
+def mel_spectrograms(df, column: str, settings: tuple = TREMOR):
+    """Adds frames, bands and db (an array, frame by frame: decibels below the largest, down to -80, from a floor of 1e-10) of an array column of any length. Null arrays, empty ones and those with a null or a number that isn't finite have null db."""
+    from pyspark.sql import types as T
+
+    from .lapped import worker_path
+
+    worker_path(df.sparkSession)
+    rate, frame, hop, count, low, high = settings
+    names = [c for c in df.columns if c not in ("frames", "bands", "db")]
+    ready = df.select(*names, F.col(column).cast("array<double>").alias("db"))
+    bands = slaney_bands(rate, frame, count, low, high)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = []
+            for value in batch.column(len(names)):
+                x = None if not value.is_valid else value.values.to_numpy(zero_copy_only=False)
+                if x is None or not len(x) or not np.isfinite(x.astype(float)).all():
+                    rows.append((None, None))
+                    continue
+                db = 10 * np.log10(np.maximum(mel_power(x.astype(float), frame, hop, bands), 1e-10))
+                rows.append((len(db), np.maximum(db - db.max(), -80).ravel()))
+            columns = [pa.array([r[0] for r in rows], pa.int32()), pa.array([count] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], [*names, "frames", "bands", "db"])
+
+    fields = [f for f in df.schema.fields if f.name in names]
+    return ready.mapInArrow(run, T.StructType([*fields, T.StructField("frames", T.IntegerType()), T.StructField("bands", T.IntegerType()), T.StructField("db", T.ArrayType(T.DoubleType()))]))
+
+
+_RATE, _FRAME, _HOP, _BANDS, _LOW, _HIGH = TREMOR
+_FFT = f"n AS (SELECT trace_id, max(i)+1 AS n FROM long_samples GROUP BY 1), fr AS (SELECT trace_id, unnest(range(0, 1+n//{_HOP})) AS f FROM n), w AS (SELECT s.trace_id, f, i-f*{_HOP}+{_FRAME // 2} AS j, x*(0.5e0-0.5e0*cos(2*pi()*(i-f*{_HOP}+{_FRAME // 2})/{_FRAME}.0e0)) AS x FROM long_samples s JOIN fr ON s.trace_id=fr.trace_id AND i BETWEEN f*{_HOP}-{_FRAME // 2} AND f*{_HOP}+{_FRAME // 2 - 1}), p AS (SELECT trace_id, f, k, pow(sum(x*cos(2*pi()*k*j/{_FRAME}.0e0)),2)+pow(sum(x*sin(2*pi()*k*j/{_FRAME}.0e0)),2) AS p FROM w, range({_FRAME // 2 + 1}) b(k) GROUP BY ALL)"
+_SLANEY = "m AS (SELECT trace_id, f, band, sum(p*w) AS m FROM p JOIN (VALUES " + ", ".join(f"({b}, {k}, {float(w)!r}::DOUBLE)" for (b, k), w in np.ndenumerate(slaney_bands(_RATE, _FRAME, _BANDS, _LOW, _HIGH)) if w) + ") AS c(band, k, w) USING (k) GROUP BY ALL)"
+
+
+@query("mel_long", sql("long_samples", body=f"{_FFT}, {_SLANEY} SELECT trace_id, CAST(f AS INT) AS frame, CAST(band AS INT) AS band, floor(log10(greatest(m,1e-10))*1e3+0.5e0)/1e3 + 0.0e0 AS bels FROM m"))
+def mel_long(spark, d):
+    """Mel power of traces of a thousand samples at the settings for tremors, in bels: 128 bands of frames of 256 samples, 10 samples apart; bands without a bin are left out."""
+    from ..tables import long_samples
+    from .lapped import worker_path
+
+    worker_path(spark)
+    t = long_samples(spark, d).groupBy("trace_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("x"))
+    bands = slaney_bands(_RATE, _FRAME, _BANDS, _LOW, _HIGH)
+    (there,) = np.nonzero(bands.any(1))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for key, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+                m = np.log10(np.maximum(mel_power(x.values.to_numpy(zero_copy_only=False), _FRAME, _HOP, bands), 1e-10))[:, there]
+                frame, band = np.repeat(np.arange(len(m)), len(there)), np.tile(there, len(m))
+                kinds = (pa.int32(), pa.int32(), pa.int32(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((np.full(len(frame), key), frame, band, m.ravel()), kinds)], ["trace_id", "frame", "band", "bels"])
+
+    out = t.mapInArrow(run, "trace_id int, frame int, band int, bels double")
+    return out.withColumn("bels", F.floor(F.col("bels") * 1e3 + 0.5) / 1e3 + F.lit(0.0))
+
+
+@query("mel_loudest", sql("long_samples", body=f"n AS (SELECT trace_id, CAST(1+(max(i)+1)//{_HOP} AS INT) AS frames FROM long_samples GROUP BY 1) SELECT trace_id, frames, CAST({_BANDS} AS INT) AS bands, 0.0e0 AS top, true AS floored FROM n"))
+def mel_loudest(spark, d):
+    """Spectrograms of traces of a thousand samples: frames, bands, the largest decibels (0), and whether none lies below -80."""
+    from ..tables import long_samples
+
+    t = long_samples(spark, d).groupBy("trace_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("x"))
+    got = mel_spectrograms(t, "x")
+    return got.select("trace_id", "frames", "bands", F.array_max("db").alias("top"), (F.array_min("db") >= -80).alias("floored"))

@@ -30,6 +30,8 @@ MODULES: tuple[str, ...] = (
     "strandworks.plans.frames",
     "strandworks.sources.segy",
     "strandworks.sources.syz",
+    "strandworks.sources.blocks",
+    "strandworks.sources.wav",
     "strandworks.sources.records",
     "strandworks.streaming.streams",
     "strandworks.streaming.stateful",
