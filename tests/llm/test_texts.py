@@ -318,6 +318,37 @@ def test_toxicity_of_held_out_documents(spark):
     # one in twenty of the toxic rows has none of the words that mark the others
     assert hit >= 0.88 * sum(r["toxic"] for r in got) and hit >= 0.85 * sum(r["predicted"] for r in got)
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in got)
+    toxic, clean = (np.array([r["score"] for r in got if r["toxic"] == k]) for k in (1, 0))
+    assert (toxic[:, None] > clean).mean() >= 0.9  # the area under the curve
+
+
+def test_word_pairs_are_told_by_wide_filters():
+    """Both words are in every text; only in toxic ones the second follows the first."""
+    rng = np.random.default_rng(2)
+    fill = [f"w{k}" for k in range(60)]
+
+    def text(pair):
+        words = list(rng.choice(fill, 12))
+        at = sorted(rng.choice(np.arange(1, 11), 2, replace=False))
+        if pair:
+            words[at[0] : at[0]] = ["rotten", "fish"]
+        else:
+            words.insert(at[1], "rotten")
+            words.insert(at[0], "fish")
+        return " ".join(words)
+
+    said = [(k % 2, text(k % 2)) for k in range(1600)]
+    rows = [toxicity.word_rows([t.encode()])[0] for _, t in said]
+    y = np.array([float(k) for k, _ in said])
+    net = toxicity.fit(rows[:1200], y[:1200], ["a"] * 1200, np.ones(1200))
+    right = lambda: np.mean((net.scores(net.tables(), [t.encode() for _, t in said[1200:]]) >= 0.7) == y[1200:])
+    assert right() > 0.9
+    at = 0
+    for k, f in toxicity.FILTERS.items():
+        if k > 1:
+            net.weights[at : at + f] = 0
+        at += f
+    assert right() < 0.65
 
 
 def test_scores_are_those_of_a_plain_network():
