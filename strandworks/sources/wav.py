@@ -62,12 +62,12 @@ def parse_wav(data: bytes) -> tuple[int, np.ndarray]:
                 raise ValueError("samples come before their format")
             kind, channels, rate, bits = head
             size -= size % (channels * bits // 8)
-            raw = np.frombuffer(data, np.uint8, size, at + 8)
+            raw = np.frombuffer(data, np.uint8, size, at + 8) if size else np.empty(0, np.uint8)
             if kind == FLOAT:
                 x = raw.view(f"<f{bits // 8}").astype(float)
             else:
                 wide = np.zeros((len(raw) * 8 // bits, 4), np.uint8)
-                wide[:, 4 - bits // 8 :] = raw.reshape(len(wide), -1)  # at the top, so that the sign is right
+                wide[:, 4 - bits // 8 :] = raw.reshape(len(wide), bits // 8)  # at the top, so that the sign is right
                 x = wide.view("<i4")[:, 0].astype(float) / 2.0**31
                 if bits == 8:
                     x = raw / 128.0 - 1
