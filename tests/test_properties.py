@@ -1,4 +1,4 @@
-"""Properties that hold whatever the data: orthonormal transforms, exact coders, round trips, and the fourteen header vectors."""
+"""Properties that hold whatever the data: orthonormal transforms, exact coders, round trips, and the eleven header vectors."""
 
 import numpy as np
 import pytest
