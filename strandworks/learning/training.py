@@ -1,7 +1,7 @@
 """Training by many tasks at once: each has a part of the examples, and every step sums all parts' gradients.
 
 A step is a job: weights go out with it, a gradient a task comes back (at most MOST_PARTS of them), and the driver moves the weights. Examples stay in the executors' memory between steps and are made again where an
-executor is lost. (A barrier stage that keeps weights in its tasks was tried: its allGather takes a second a step, whatever the step.) Gradients are summed in the order of tasks, steps take examples by a
+executor is lost. (A barrier stage whose tasks keep the weights and exchange gradients by allGather was tried: its steps took as long.) Gradients are summed in the order of tasks, steps take examples by a
 hash of their key, and nothing else is random, so results don't depend on how examples are dealt out but for the last bits of sums.
 
 Two phases: the head alone, then all weights. Steps are by AdamW (decay apart from the gradient), with a cosine schedule in each phase, smoothed labels, class weights, and gradients clipped by their norm.
