@@ -190,18 +190,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def filter_documents(docs: DataFrame) -> DataFrame:
-    """One row of each group of near duplicates: that with the group's smallest doc_id, with all its columns.
-
-    Rows that repeat that id go but one. Rows with a null id belong to no group: one for each different text stays.
-    """
-    verdict = near_duplicates(docs.select("doc_id", "text"))
-    kept = common.stored(verdict.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct(), "kept-ids")
-    with_id = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
-    nameless = docs.where("doc_id is null").dropDuplicates(["text"])
-    return with_id.unionByName(nameless)
-
-
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document: doc_id, fingerprint, component_id."""
     common.prepare(spark)
