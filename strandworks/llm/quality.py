@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from . import common
 from .common import let
 
-#: Rows on which costs and rejections are measured, how often each rule is timed, and the seed of the sample.
-SAMPLE_ROWS, RUNS, SEED = 4000, 3, 11
+#: Rows on which costs and rejections are measured, how often each rule is timed at most, within what ratio its two fastest runs must be to stop earlier, and the seed of the sample.
+SAMPLE_ROWS, RUNS, STEADY, SEED = 2000, 3, 1.25, 11
 #: Fixed bounds of the rules, in hundredths.
 LEAST_WORDS, REPEATED, SYMBOLS, CAPITALS, DUPLICATE_LINES, WORDLIKE = 50, 50, 25, 50, 40, 50
 SHORTEST_MEAN, LONGEST_MEAN = 200, 1500
@@ -71,29 +71,40 @@ def repeated_words(words: Column) -> Column:
 
 
 def base_features(text: Column) -> Column:
-    """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of a whole text, as a struct. Null or without a word: zeros, symbols and lines apart."""
+    """n_words, word_chars, n_symbols, n_lines (those with a word), n_dup_lines and n_repeat_words of a whole text, as a struct. Null or without a word: zeros, symbols apart."""
 
-    def of(words: Column) -> Column:
+    def counted(x: Column) -> Column:
+        return F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))
+
+    def of(words: Column, lines: Column) -> Column:
         return F.struct(
             F.size(words).cast("long").alias("n_words"),
             F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
             n_symbols(text).alias("n_symbols"),
-            n_dup_lines(text).alias("n_dup_lines"),
+            lines["n_lines"].alias("n_lines"),
+            lines["n_dup_lines"].alias("n_dup_lines"),
             repeated_words(words).alias("n_repeat_words"),
         )
 
-    return let(common.words(text), of)
+    return let(common.words(text), lambda w: let(let(lines_with_words(text), counted), lambda x: of(w, x)))
 
 
-def verdict_rules(text: Column) -> list[Rule]:
-    """The rules beside the base ones; none looks at anything but the text, and none rejects an empty text."""
+def verdict_rules(text: Column, known: Column | None = None) -> list[Rule]:
+    """The rules beside the base ones; none looks at anything but the text, and none rejects an empty text. known: the text's base features where they are at hand, which no rule computes again then."""
     whole = _text(text)
-    n_words = F.regexp_count(whole, F.lit(common.NOT_SPACE + "+"))
-    capitals = let(F.regexp_count(whole, F.lit(r"\p{Lu}")), lambda c: (c * 100 > CAPITALS * F.regexp_count(whole, F.lit(r"\p{L}"))) & (c > 0))
-    mean = let(n_words, lambda n: let(F.length(F.regexp_replace(whole, common.SPACE, "")) * 100, lambda c: (c < n * SHORTEST_MEAN) | (c > n * LONGEST_MEAN)))
-    lines = let(lines_with_words(text), lambda x: (F.size(x) - F.size(F.array_distinct(x))) * 100 > DUPLICATE_LINES * F.size(x))
-    wordlike = let(common.words(text), lambda w: F.size(F.filter(w, lambda x: x.rlike(r"\p{L}"))) * 100 < F.size(w) * WORDLIKE)
-    return [Rule("symbols", n_symbols(text) * 100 > n_words * SYMBOLS), Rule("capitals", capitals), Rule("duplicate_lines", lines), Rule("word_length", mean), Rule("wordlike", wordlike)]
+    if known is None:
+        n_words = F.regexp_count(whole, F.lit(common.NOT_SPACE + "+"))
+        symbols = n_symbols(text)
+        word_chars = F.length(F.regexp_replace(whole, common.SPACE, ""))
+        lines = let(lines_with_words(text), lambda x: (F.size(x) - F.size(F.array_distinct(x))) * 100 > DUPLICATE_LINES * F.size(x))
+    else:
+        n_words, symbols, word_chars = known["n_words"], known["n_symbols"], known["word_chars"]
+        lines = known["n_dup_lines"] * 100 > known["n_lines"] * DUPLICATE_LINES
+    capitals = let(F.regexp_count(whole, F.lit(r"\p{Lu}")), lambda c: (c > 0) & (c * 100 > CAPITALS * F.regexp_count(whole, F.lit(r"\p{L}"))))
+    mean = let(n_words, lambda n: let(word_chars * 100, lambda c: (c < n * SHORTEST_MEAN) | (c > n * LONGEST_MEAN)))
+    # from a word's first letter to its end: one match for each word with a letter
+    wordlike = let(n_words, lambda n: F.regexp_count(whole, F.lit(r"\p{L}" + common.NOT_SPACE + "*")) * 100 < n * WORDLIKE)
+    return [Rule("symbols", symbols * 100 > n_words * SYMBOLS), Rule("capitals", capitals), Rule("duplicate_lines", lines), Rule("word_length", mean), Rule("wordlike", wordlike)]
 
 
 def base_rules(text: Column, least_words: int = LEAST_WORDS) -> list[Rule]:
@@ -122,21 +133,24 @@ class Measured:
         return out
 
 
-def measure(docs: DataFrame, rules: list[Rule], rows: int = SAMPLE_ROWS) -> Measured:
-    """Costs and rejections over one sample of about so many rows: each rule is run by itself RUNS times, of which the fastest counts, less that of a run without a rule."""
+def measure(docs: DataFrame, rules: list[Rule], rows: int = SAMPLE_ROWS, known: Column | None = None) -> Measured:
+    """Costs and rejections over one sample of about so many rows (with a column f of what known gives, if it is given).
+
+    Each rule is run by itself, two times or until its two fastest runs are alike, but RUNS times at most; the fastest counts, less that of a run without a rule.
+    """
     n = docs.count()
-    sample = common.stored(docs.select("text").sample(min(1.0, rows / max(n, 1)), SEED).limit(2 * rows), "rule-sample")
-    one = sample.coalesce(1)
+    sample = docs.select("text").sample(min(1.0, rows / max(n, 1)), SEED).limit(2 * rows)
+    sample = common.stored(sample if known is None else sample.withColumn("f", known), "rule-sample")
     masks = sum((F.coalesce(r.rejects, F.lit(False)).cast("int") * (1 << k) for k, r in enumerate(rules)), F.lit(0))
     sets = {r["bits"]: r["count"] for r in sample.groupBy(masks.alias("bits")).count().collect()}  # a row for each set of rules at most
 
     def seconds(rejects: Column) -> float:
-        took = []
-        for _ in range(RUNS):
+        took: list[float] = []
+        while len(took) < 2 or (len(took) < RUNS and took[1] > STEADY * took[0]):
             began = time.perf_counter()
-            one.agg(F.count_if(rejects)).first()
-            took.append(time.perf_counter() - began)
-        return min(took)
+            sample.agg(F.count_if(rejects)).first()
+            took = sorted([*took, time.perf_counter() - began])
+        return took[0]
 
     idle = seconds(F.length("text") < 0)
     costs = [max(seconds(r.rejects) - idle, 1e-4) / max(sum(sets.values()), 1) for r in rules]
@@ -159,9 +173,10 @@ def filter_documents(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFra
 
 def judge_documents(docs: DataFrame) -> DataFrame:
     """doc_id, the base features, base_failed and kept of every row; repeated rows, null ids and null texts keep a row each."""
-    rules = measure(docs, verdict_rules(F.col("text"))).ordered()
+    features = base_features(F.col("text"))
+    rules = measure(docs, verdict_rules(F.col("text"), F.col("f")), known=features).ordered()
     failed = (F.col("f.n_words") < LEAST_WORDS) | (100 * F.col("f.n_repeat_words") > REPEATED * F.col("f.n_words"))
-    judged = docs.select("doc_id", "text", base_features(F.col("text")).alias("f"))
+    judged = docs.select("doc_id", "text", features.alias("f"))
     return judged.select("doc_id", "f.n_words", "f.word_chars", "f.n_symbols", "f.n_dup_lines", "f.n_repeat_words", failed.alias("base_failed"), F.when(failed, F.lit(False)).otherwise(cascade(rules).isNull()).alias("kept"))
 
 
