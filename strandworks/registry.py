@@ -26,6 +26,7 @@ MODULES: tuple[str, ...] = (
     "strandworks.operators.spectral",
     "strandworks.operators.geometry",
     "strandworks.operators.asof",
+    "strandworks.operators.sketches",
     "strandworks.plans.compress",
     "strandworks.plans.frames",
     "strandworks.sources.segy",
