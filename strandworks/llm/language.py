@@ -8,6 +8,7 @@ penalised likelihood does not fall, which leaves the document's set of languages
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,6 +19,8 @@ from . import common
 
 #: At most about so many documents of each language are counted for its model.
 TRAIN_DOCS, TRAIN_TASKS = 1500, 8
+#: A model has at most so many languages, of 0.8 MB each: driver and workers hold all of them.
+LANGUAGES = 128
 #: Entries of a table of hashed n-grams, the weights of orders 4 to 1, and what is left for bytes never seen.
 TABLE, WEIGHTS, UNSEEN = 1 << 16, (0.45, 0.3, 0.15, 0.099), 0.001 / 256
 #: Rounds of expectation-maximisation, and the penalty for a language more, times the logarithm of the number of words.
@@ -139,11 +142,24 @@ def select(likelihoods: np.ndarray, n: np.ndarray) -> np.ndarray:
     return best.T
 
 
-def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
-    """Counts n-grams of a bounded sample of the documents that have a language and a text, in tasks that each give a table."""
+def learnable(usable: DataFrame, most: int) -> dict[str, int]:
+    """Documents of each language that a model is made of: the most frequent ones, of equally frequent ones the first by name. Others are named in a warning by their number and their documents'."""
+    counts = usable.groupBy("lang").count()
+    first = counts.orderBy(F.desc("count"), "lang").limit(most + 1).collect()
+    if len(first) > most:
+        n, rows = counts.agg(F.count("*"), F.sum("count")).first()
+        warnings.warn(f"{n - most} values of lang with {rows - sum(r['count'] for r in first[:most])} documents aren't learned: a model has the {most} most frequent", stacklevel=3)
+    return {r["lang"]: r["count"] for r in first[:most]}
+
+
+def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, most: int = LANGUAGES) -> Model:
+    """Counts n-grams of a bounded sample of the documents that have a language and a text, in tasks that each give a table.
+
+    A column of many values (a dirty one) gives the most frequent ones and a warning.
+    """
     common.prepare(docs.sparkSession)
     usable = docs.where("lang is not null and text is not null").where(F.pmod(common.crc_of_id(F.col("doc_id")), F.lit(4)) != 2)
-    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
+    counts = learnable(usable, most)
     languages = sorted(counts)
     if not languages:
         return Model([], [])

@@ -131,6 +131,16 @@ def test_language_of_held_out_documents(spark):
     assert right > 0.97 and n > 150
 
 
+def test_many_languages_keep_the_most_frequent(spark):
+    rows = [(k, f"word{k % 7} more{k % 3} text", f"x{k % 40:02d}" if k % 2 else "main") for k in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    with pytest.warns(UserWarning, match="values of lang with"):
+        model = language.train(docs, most=5)
+    counts = docs.where(~language.held_out(F.col("doc_id"))).groupBy("lang").count().collect()
+    assert model.languages == sorted(r["lang"] for r in sorted(counts, key=lambda r: (-r["count"], r["lang"]))[:5])
+    assert {r["lang_pred"] for r in language.identify(docs, model).collect()} <= set(model.languages)
+
+
 def test_language_mixture():
     rng = np.random.default_rng(6)
     a, b = rng.normal(-3, 0.5, (60, 2)), rng.normal(-3, 0.5, (40, 2))
