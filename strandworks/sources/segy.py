@@ -122,8 +122,8 @@ def read_segy(manifest: DataFrame) -> DataFrame:
 
 @query("src_segy_header", "SELECT DISTINCT CAST(32 AS INT) AS traces_per_frame, 4.0e0 AS interval_ms, CAST(len(embedding) AS INT) AS samples FROM embeddings")
 def src_segy_header(spark: SparkSession, d: str) -> DataFrame:
-    """Headers of the files that the traces were written to."""
-    return headers_of(write_segy(traces(spark, d), folder(spark, "segy"))).select("traces_per_frame", "interval_ms", "samples")
+    """The different headers of the files that the traces were written to, however many files there are."""
+    return headers_of(write_segy(traces(spark, d), folder(spark, "segy"))).select("traces_per_frame", "interval_ms", "samples").distinct()
 
 
 @query("src_segy_traces", "SELECT CAST(vec_id AS BIGINT) AS trace_id, CAST(label AS INT) AS frame_key, CAST(len(embedding) AS INT) AS n, floor(list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE)))*1e4+0.5e0)/1e4 + 0.0e0 AS total FROM embeddings")

@@ -174,3 +174,11 @@ def test_trace_files(spark, tmp_path):
 def test_an_empty_table_writes_no_file(spark, tmp_path):
     df = spark.createDataFrame([], "trace_id long, frame_key int, samples array<float>")
     assert segy.read_segy(segy.write_segy(df, (tmp_path / "f").as_uri())).count() == 0
+
+
+def test_headers_of_several_files_are_told_once(spark, tmp_path):
+    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    e.repartition(3).write.parquet(str(tmp_path / "embeddings.parquet"))
+    manifest = segy.write_segy(e.selectExpr("vec_id AS trace_id", "label AS frame_key", "embedding AS samples").repartition(3), (tmp_path / "f").as_uri())
+    assert manifest.count() == 3
+    assert [tuple(r) for r in segy.src_segy_header(spark, str(tmp_path)).collect()] == [(32, 4.0, 64)]
