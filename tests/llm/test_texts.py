@@ -1,8 +1,10 @@
 """Operators 2, 4, 6, 7 and 8."""
 
+import copy
 import hashlib
 import itertools
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -398,3 +400,37 @@ def test_toxicity_cases(spark):
         got = toxicity.score(docs, toxicity.train(docs, chosen)).collect()
         assert len(got) == len(ROWS) and all(0 <= r["score"] <= 1 for r in got)
     assert toxicity.score(empty(spark), toxicity.train(empty(spark), labels)).count() == 0
+
+
+def test_toxicity_learns_from_all_labelled_rows(spark, monkeypatch):
+    """Word shares are those of every labelled row outside the held-out third, not of a sample; parts that moved a row of the embedding move it by their mean."""
+    monkeypatch.setattr(toxicity, "MET_ROWS", 1)
+    said = [(k, f"w{k % 7} day{' vile' if k % 10 == 0 else ''}", "ab"[k % 2]) for k in range(9000)]
+    docs = spark.createDataFrame(said, "doc_id long, text string, lang string")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 10 = 0) AS toxic")
+    net = toxicity.train(docs, labels, part_rows=1500)
+    used = [r for r in said if zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    for k, lang in enumerate("ab"):
+        own = toxicity.word_rows([t.encode() for _, t, x in used if x == lang])[0]
+        assert np.allclose(net.languages[:, k], toxicity.shares_of(np.bincount(own[:, 0], minlength=toxicity.ROWS)), atol=1e-5)
+    got = toxicity.score(docs, net).collect()
+    assert all(r["predicted"] == (r["doc_id"] % 10 == 0) for r in got)
+
+
+def test_networks_of_parts_are_averaged():
+    rng = np.random.default_rng(5)
+    rows = [toxicity.word_rows([f"{w} day".encode()])[0] for w in ("good", "vile", "bad", "nice")]
+    start = toxicity.Trainer(toxicity.untrained(["a"], rng))
+    parts = []
+    for at in (0, 2):
+        part = copy.deepcopy(start)
+        part.learn(rows[at : at + 2], np.array([0.0, 1.0]), [np.array([0]), np.array([1])], 0.05, rng)
+        parts.append(part)
+    moved = copy.deepcopy(start)
+    moved.move([np.sum(x, 0, dtype=float) for x in zip(*(p.sums(start) for p in parts))])
+    assert np.allclose(moved.net.weights, (parts[0].net.weights + parts[1].net.weights) / 2, atol=1e-6)
+    for k, part in enumerate(parts):
+        alone = part.met & ~parts[1 - k].met
+        assert alone.any() and np.allclose(moved.net.embedding[alone], part.net.embedding[alone], atol=1e-6)
+    both = parts[0].met & parts[1].met
+    assert both.any() and np.allclose(moved.net.embedding[both], (parts[0].net.embedding[both] + parts[1].net.embedding[both]) / 2, atol=1e-6)
