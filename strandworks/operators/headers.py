@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 from ..functions.order import with_lag
 from ..registry import query
 from ..tables import headers, sql
-from .lapped import worker_path
+from .lapped import slices, worker_path
 
 #: Runs of these kinds, in the order in which they are tried, and the fewest values of a stored one.
 KINDS = ("const", "ascending", "descending", "delta", "float")
 FEWEST = {"const": 4, "ascending": 4, "descending": 4, "delta": 5, "float": 5}
 FIELDS = ("h0", "h1", "h2", "h3")
+#: Fields of frames that a task works on at once.
+SLICE_ROWS = 128
 
 
 def fields(spark, d) -> DataFrame:
@@ -84,7 +86,7 @@ def coded(df: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches, SLICE_ROWS):
             rows = [(f, g, k, *r) for f, g, v in zip(*(c.to_pylist() for c in batch.columns)) for k, r in enumerate(runs(v))]
             kinds = (pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], [x.split()[0] for x in schema.split(", ")])
@@ -99,7 +101,7 @@ def expanded(df: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches, SLICE_ROWS):
             back = [[x for r in runs(v) for x in expand(*r)] for v in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(back, pa.list_(pa.int64()))], ["frame_no", "field_no", "values"])
 
@@ -113,7 +115,7 @@ def packed(df: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches, SLICE_ROWS):
             raw = [np.array(v, ">i4").tobytes() for v in batch.column(2).to_pylist()]
             zipped = [zlib.compress(r, 6) for r in raw]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(len, raw), pa.int64()), pa.array(map(len, zipped), pa.int64()), pa.array([zlib.decompress(z) == r for z, r in zip(zipped, raw)])], ["frame_no", "field_no", "raw", "deflated", "same"])

@@ -24,6 +24,13 @@ def worker_path(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
 
 
+def slices(batches, rows: int):
+    """Arrow batches cut into slices (no copies) of at most so many rows: what a task makes of them at once is bounded, however long Spark's batches are."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def apply_matrix(df: DataFrame, column: str, matrix: np.ndarray, out: str) -> DataFrame:
     """Adds the product of the matrix and an array column of as many values; a null or shorter array counts zeros, a longer one is an error."""
     worker_path(df.sparkSession)

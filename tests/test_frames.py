@@ -272,3 +272,22 @@ def test_damaged_frames(spark):
     short = codes[0].encode(b"1234")
     with pytest.raises(ValueError, match="cut short"):
         frames.restored(head.updated(size + len(short), 0).bytes() + short, codes[0])
+
+
+def test_fields_are_coded_a_slice_at_a_time(spark):
+    """However long Spark's batches are, a task makes runs of a bounded number of fields at once."""
+    import pyarrow as pa
+
+    class Frame:
+        sparkSession = spark
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            return run
+
+    rows = pa.RecordBatch.from_arrays([pa.array(range(1000), pa.int32()), pa.array([0] * 1000, pa.int32()), pa.array([[k + 10, 5, 5, 5, 5] for k in range(1000)], pa.list_(pa.int64()))], ["frame_no", "field_no", "values"])
+    for operator, each in ((headers.coded, 2), (headers.expanded, 1), (headers.packed, 1)):
+        got = [b.num_rows for b in operator(Frame())([rows])]
+        assert sum(got) == 1000 * each and max(got) <= headers.SLICE_ROWS * each
