@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import draws
 from ..operators import spectral
 from ..operators.evaluate import report
-from ..operators.lapped import apply_matrix, worker_path
+from ..operators.lapped import apply_matrix, slices, worker_path
 from ..operators.quant import let
 from ..operators.spectral import FRAME, HOP, short_time
 from ..registry import query
@@ -27,6 +27,8 @@ from .network import Network
 
 #: Rows that training takes at most, a sample by hash beyond that: executors hold them all through training. Rows of a part, and the most parts.
 TRAIN_ROWS, PART_ROWS, MOST_PARTS = 200_000, 500, 64
+#: Grids that a task puts through the network at once: each takes some 500 kB while gradients are made.
+SLICE_ROWS = 64
 
 
 @dataclass(frozen=True)
@@ -99,13 +101,14 @@ def train(examples: DataFrame, network: Network, classes: list, plan: Plan = Pla
     total = usable.count()
     if total > TRAIN_ROWS:
         usable = usable.where(draws.uniform(F.col("key"), 977) < TRAIN_ROWS / total)
-    counts = {r["label"]: r["n"] for r in usable.where("not held_out").groupBy("label").agg(F.count("*").alias("n")).collect()}  # a row a class
+    numbers = F.array_position(F.array(*map(F.lit, classes)), F.col("label")) - 1
+    parts = parts or max(1, min(-(-min(total, TRAIN_ROWS) // PART_ROWS), MOST_PARTS))
+    dealt = usable.select(F.col("key").cast("long"), F.col("grid").cast("array<double>"), numbers.cast("int").alias("label"), F.when(F.col("held_out"), -1).otherwise(F.pmod(draws.mix(F.col("key")), F.lit(plan.steps))).cast("int").alias("turn"), (~F.col("held_out")).alias("free")).repartition(parts, "key", F.xxhash64("grid")).persist()
+    counts = {classes[r["label"]]: r["n"] for r in dealt.where("free").groupBy("label").agg(F.count("*").alias("n")).collect()}  # a row a class
     if not counts:
+        dealt.unpersist()
         raise ValueError("no examples to learn from")
     each = np.array([sum(counts.values()) / (len(counts) * counts[c]) if c in counts else 0.0 for c in classes])
-    numbers = F.array_position(F.array(*map(F.lit, classes)), F.col("label")) - 1
-    parts = parts or max(1, min(-(-min(total, TRAIN_ROWS) // PART_ROWS), MOST_PARTS))
-    dealt = usable.select(F.col("key").cast("long"), F.col("grid").cast("array<double>"), numbers.cast("int").alias("label"), F.when(F.col("held_out"), -1).otherwise(F.pmod(draws.mix(F.col("key")), F.lit(plan.steps))).cast("int").alias("turn")).repartition(parts, "key", F.xxhash64("grid")).persist()
 
     def summed(flat: np.ndarray, turn: int, back: bool) -> np.ndarray:
         """Over the rows of a turn (-1: held out): gradient (if back), weighted loss, weights, cross-entropy, hits and rows."""
@@ -115,7 +118,7 @@ def train(examples: DataFrame, network: Network, classes: list, plan: Plan = Pla
 
             total, weights = np.zeros(len(flat) * back + 5), network.named(flat)
             for batch in batches:
-                for part in (batch.slice(k, 1024) for k in range(0, batch.num_rows, 1024)):
+                for part in slices([batch], SLICE_ROWS):
                     x = part.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, network.height, network.width)
                     y = part.column(1).to_numpy()
                     targets = np.eye(len(classes))[y] * (1 - plan.smoothing) + plan.smoothing / len(classes)
@@ -168,7 +171,7 @@ def predicted(examples: DataFrame, model: Trained) -> DataFrame:
             column = batch.column(len(kept))
             there = column.is_valid().to_numpy(zero_copy_only=False)
             x = column.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, network.height, network.width)
-            chance = np.concatenate([network.chances(weights, x[a : a + 1024]) for a in range(0, max(1, len(x)), 1024)])
+            chance = np.concatenate([network.chances(weights, x[a : a + SLICE_ROWS]) for a in range(0, max(1, len(x)), SLICE_ROWS)])
             number, confidence = np.full(len(there), -1), np.full(len(there), np.nan)
             number[there], confidence[there] = chance.argmax(1), chance.max(1)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(number, pa.int32()), pa.array(confidence)], [*kept, "pred", "confidence"])

@@ -94,3 +94,15 @@ def test_odd_examples(spark):
         training.train(df, Network(4, 5, 3), ["a", "a", "b"], plan)
     none_held = training.train(examples(spark, 60).withColumn("held_out", F.lit(False)), Network(4, 5, 3), list("abc"), plan)
     assert none_held.history[0]["val_accuracy"] is None and none_held.history[0]["best"]
+
+
+def test_grids_go_through_the_network_a_slice_at_a_time(spark):
+    class Limited(Network):
+        def scores(self, p, x):
+            if len(x) > 64:
+                raise ValueError("too many grids at once")
+            return super().scores(p, x)
+
+    df = examples(spark, 600)
+    model = training.train(df, Limited(4, 5, 3), list("abc"), training.Plan(epochs=(1, 0), steps=2), parts=1)
+    assert training.predicted(df.repartition(1), model).where("pred is not null").count() == 600
