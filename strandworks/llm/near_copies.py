@@ -7,7 +7,8 @@ hashes in 32 bands of 4, and documents that share a band are candidates. A pair
 Only components are asked for, so pairs that are already connected aren't compared: in each bucket all members are compared with a first one (the pivot),
 which then has met everybody and leaves. After PIVOTS rounds all pairs left of different components are gone through by a byte of each minimum hash; those
 that agree in AGREE of 128 at least (a pair at exactly 4/5 has 102 on average, and fewer than 75 with a chance of about 1e-8) are compared exactly.
-Buckets with more members than BLOCK are dealt out as pairs of blocks.
+The comparison has the shingles themselves beside the sketches and gives links of a spanning forest, so what leaves a bucket never grows with the square of its members.
+Buckets with more members than BLOCK, or more shingles than BLOCK_SHINGLES, are dealt out as pairs of blocks.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ SEED, SHINGLE = 42, 5
 #: Linked from a similarity of PART / OF.
 PART, OF = 4, 5
 BANDS, ROWS = 32, 4
-PIVOTS, AGREE, BLOCK = 2, 75, 2048
+PIVOTS, AGREE, BLOCK, BLOCK_SHINGLES = 2, 75, 2048, 4_000_000
 #: Shingles that a worker keeps of texts met before.
 CACHE = 2_000_000
 _rng = np.random.default_rng(SEED)
@@ -51,6 +52,13 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return OF * shared >= PART * (len(a) + len(b) - shared)
 
 
+def common_hashes(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each of some ascending sets, none empty, has in common with one."""
+    flat = np.concatenate(others)
+    at = np.minimum(np.searchsorted(one, flat), len(one) - 1)
+    return np.add.reduceat((one[at] == flat).astype(np.int64), np.cumsum([0, *map(len, others[:-1])]))
+
+
 def buckets(hashes: np.ndarray) -> tuple[list[int], bytes]:
     """A hash of each band of the minimum hashes and of its number, and a byte of each minimum hash."""
     from xxhash import xxh64_intdigest
@@ -78,6 +86,18 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, key long, n int, buckets array<long>, sketch binary")
 
 
+def hashed(texts: DataFrame) -> DataFrame:
+    """key and hashes (the ascending shingle hashes, 8 bytes each) of texts (key, text)."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in common.short(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], ["key", "hashes"])
+
+    return texts.select("key", "text").mapInArrow(run, "key long, hashes binary")
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of keys whose texts are similar."""
 
@@ -104,15 +124,28 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(other, "b").join(one, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def likely(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of keys in a bucket, of different components, whose sizes and sketches allow that they are similar. rows: bucket, key, n, component, sketch."""
+def close(rows: DataFrame) -> DataFrame:
+    """Links (a, b) of similar keys of a bucket that join all its components that similar texts join. rows: bucket, key, n, component, sketch, buckets, hashes.
+
+    Every pair of different components is gone through in its first common bucket, but links are no more than a bucket's components: no table of pairs is made.
+    """
 
-    def pairs_of(keys, n, component, sketch):
+    def links_of(band, keys, n, label, sketch, ids, sets):
+        label = label.copy()
         for k in range(len(keys) - 1):
             low, high = np.minimum(n[k], n[k + 1 :]), np.maximum(n[k], n[k + 1 :])
-            (at,) = np.nonzero((component[k + 1 :] != component[k]) & (low * OF >= high * PART) & (keys[k + 1 :] != keys[k]))
-            if len(at):
-                yield keys[k], keys[k + 1 :][at[(sketch[k + 1 :][at] == sketch[k]).sum(1) >= AGREE]]
+            (at,) = np.nonzero((label[k + 1 :] != label[k]) & (low * OF >= high * PART))
+            at += k + 1
+            at = at[(sketch[at] == sketch[k]).sum(1) >= AGREE]
+            # a bucket of a band before has had the pair
+            at = at[~(ids[at, :band] == ids[k, :band]).any(1)]
+            if not len(at):
+                continue
+            shared = common_hashes(sets[k], [sets[j] for j in at])
+            for j in at[OF * shared >= PART * (n[k] + n[at] - shared)].tolist():
+                if label[j] != label[k]:
+                    label[label == label[j]] = label[k]
+                    yield int(keys[k]), int(keys[j])
 
     def compare(batches):
         """Rows come sorted by group, so a group is at hand in full when the next begins; a group has at most two blocks."""
@@ -120,41 +153,37 @@ def likely(rows: DataFrame) -> DataFrame:
 
         kept = None
 
-        def found(group, keys, n, component, sketch):
+        def found(group, band, *columns):
             cuts = np.concatenate([[0], np.nonzero(np.diff(group))[0] + 1, [len(group)]])
-            met: set = set()
-            for i, j in zip(cuts, cuts[1:]):
-                for a, others in pairs_of(keys[i:j], n[i:j], component[i:j], sketch[i:j]):
-                    met.update((min(a, b), max(a, b)) for b in others.tolist())
-                    if len(met) > 100_000:
-                        yield met
-                        met = set()
-            if met:
-                yield met
-
-        def batch_of(met):
-            return pa.RecordBatch.from_arrays([pa.array([int(x[i]) for x in met], pa.int64()) for i in range(2)], ["a", "b"])
+            out = [x for i, j in zip(cuts, cuts[1:]) for x in links_of(band[i], *(c[i:j] for c in columns))]
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(2)], ["a", "b"])
 
         for batch in batches:
-            now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-            now.append(np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS))
-            kept = now if kept is None else [np.concatenate(x) for x in zip(kept, now)]
-            done = int(np.searchsorted(kept[0], kept[0][-1])) if len(kept[0]) else 0
+            if not batch.num_rows:
+                continue
+            now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            now.append(np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS))
+            now.append(batch.column(6).flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS))
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(7)]
+            kept = [*now, sets] if kept is None else [*(np.concatenate(x) for x in zip(kept[:-1], now)), kept[-1] + sets]
+            done = int(np.searchsorted(kept[0], kept[0][-1]))
             if done:
-                yield from map(batch_of, found(*(x[:done] for x in kept)))
+                yield found(*(x[:done] for x in kept))
                 kept = [x[done:] for x in kept]
-        if kept is not None and len(kept[0]):
-            yield from map(batch_of, found(*kept))
+        if kept is not None:
+            yield found(*kept)
 
-    large = common.stored(rows.groupBy("bucket").count().where(F.col("count") > BLOCK).select("bucket", F.ceil(F.col("count") / F.lit(BLOCK)).alias("blocks")), "large-buckets")
+    blocks = F.least("count", F.greatest(F.ceil(F.col("count") / F.lit(BLOCK)), F.ceil(F.col("shingles") / F.lit(BLOCK_SHINGLES))))
+    large = common.stored(rows.groupBy("bucket").agg(F.count("*").alias("count"), F.sum("n").alias("shingles")).select("bucket", blocks.alias("blocks")).where("blocks > 1"), "large-buckets")
+    columns = ["group", F.array_position("buckets", F.col("bucket")).cast("int").alias("place"), "key", "n", "component", "sketch", "buckets", "hashes"]
     if large.isEmpty():
-        dealt = rows.withColumn("group", F.col("bucket"))
+        dealt = rows.withColumn("group", F.col("bucket")).select(columns)
     else:
         pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.xxhash64("bucket", F.least(k, F.col("block")), F.greatest(k, F.col("block"))))
         split = rows.join(large, "bucket").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks"))).withColumn("group", F.explode(pair))
-        columns = ["group", "key", "n", "component", "sketch"]
         dealt = rows.join(large, "bucket", "left_anti").withColumn("group", F.col("bucket")).select(columns).unionByName(split.select(columns))
-    return dealt.select("group", "key", "n", "component", "sketch").repartition("group").sortWithinPartitions("group").mapInArrow(compare, "a long, b long")
+    dealt = dealt.withColumn("place", F.col("place") - 1)
+    return dealt.repartition("group").sortWithinPartitions("group").mapInArrow(compare, "a long, b long")
 
 
 def _fits(n: str, m: str):
@@ -185,11 +214,15 @@ def components(docs: DataFrame) -> DataFrame:
             met = common.stored(placed.join(open_, "bucket").where("key != pivot.key"), "met")
             pairs = met.where((F.col("component") != F.col("pivot.component")) & _fits("n", "pivot.n")).select(F.col("pivot.key").alias("a"), F.col("key").alias("b"))
             members = met.select("bucket", "key", "n")
+            pairs = common.stored(pairs.distinct(), "pairs")
+            new = verified(pairs, texts)
         else:
-            pairs = likely(placed.join(open_.select("bucket"), "bucket").join(distinct.select("key", "sketch"), "key"))
-        pairs = common.stored(pairs.distinct(), "pairs")
-        if not pairs.isEmpty():
-            edges = edges.union(common.stored(verified(pairs, texts), "links"))
+            left = common.stored(placed.join(open_.select("bucket"), "bucket"), "left")
+            sets = hashed(texts.join(left.select("key").distinct(), "key", "left_semi"))
+            new = close(left.join(distinct.select("key", "sketch", "buckets").join(sets, "key"), "key"))
+        new = common.stored(new, "links")
+        if not new.isEmpty():
+            edges = edges.union(new)
             found = common.stored(connected_components(edges, "near-copies"), "components")
     named = rows.select("doc_id", "key").join(found.withColumnRenamed("node", "key"), "key", "left").select("doc_id", F.coalesce("component", "key").alias("component"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))

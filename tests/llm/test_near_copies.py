@@ -63,6 +63,27 @@ def test_groups_are_those_of_brute_force(spark, monkeypatch, pivots, block):
     assert {r["doc_id"]: r["component_id"] for r in got} == want
 
 
+@pytest.mark.parametrize("hashes", [4_000_000, 2000])
+def test_a_group_of_unlike_texts_makes_no_table_of_pairs(spark, monkeypatch, hashes):
+    """Texts that share buckets though few are similar: tables grow with the texts, not with their pairs."""
+    monkeypatch.setattr(near_copies, "BLOCK_SHINGLES", hashes, raising=False)
+    rng, counts = random.Random(8), {}
+    base = [f"w{i}" for i in range(200)]
+    rows = [(k, mutated(rng, base, 4)) for k in range(200)]
+    stored = near_copies.common.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        counts[name] = max(counts.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(near_copies.common, "stored", counted)
+    got = near_copies.components(documents(spark, [(d, t, "en", "s", 0) for d, t in rows])).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == (want := brute(rows))
+    assert len(set(want.values())) > 150
+    assert max(counts.values()) <= near_copies.BANDS * len(rows) < len(rows) * (len(rows) - 1) // 3
+
+
 def test_the_stage_drops_near_copies(spark):
     import corpus_pipeline
 
