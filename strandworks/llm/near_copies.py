@@ -1,10 +1,11 @@
-"""Near copies by exact Jaccard similarity of word shingles; candidates come from bands of minimum hashes.
+"""Near copies by exact Jaccard similarity of word shingles; candidates come from anchors of SimHash fingerprints, then from bands of minimum hashes.
 
-Two documents are linked where the sets of their lower-cased 5-word shingles have a similarity of at least 4/5. SimHash can't find these: at that
-similarity two 64-bit fingerprints differ in about 10 bits and often in 17, for which no covering code is small. So each distinct set gets 128 minimum
+Two documents are linked where the sets of their lower-cased 5-word shingles have a similarity of at least 4/5. First each distinct set's fingerprint is replicated
+to the anchors of simhash.py, compared there, and what differs in at most 3 of 64 bits is checked exactly. At a similarity of 4/5 two fingerprints differ in about 10 bits
+and often in 17, for which no covering code is small, so the anchors alone would lose links. For the rest each distinct set gets 128 minimum
 hashes in 32 bands of 4, and documents that share a band are candidates. A pair at exactly 4/5 shares none with a chance of (1 - 0.8^4)^32 = 5e-8.
 
-Only components are asked for, so pairs that are already connected aren't compared: in each bucket all members are compared with a first one (the pivot),
+Only components are asked for, so pairs that are already connected, by anchors or by bands, aren't compared again: in each bucket all members are compared with a first one (the pivot),
 which then has met everybody and leaves. After PIVOTS rounds all pairs left of different components are gone through by a byte of each minimum hash; those
 that agree in AGREE of 128 at least (a pair at exactly 4/5 has 102 on average, and fewer than 75 with a chance of about 1e-8) are compared exactly.
 The comparison has the shingles themselves beside the sketches and gives links of a spanning forest, so what leaves a bucket never grows with the square of its members.
@@ -17,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, simhash
 from .components import connected_components
 
 SEED, SHINGLE = 42, 5
@@ -71,7 +72,7 @@ def buckets(hashes: np.ndarray) -> tuple[list[int], bytes]:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, key (a hash of the shingles), n (their number), buckets and sketch of every row."""
+    """doc_id, text_hash, key (a hash of the shingles), n (their number), fp (their fingerprint's bits as a signed long), buckets and sketch of every row."""
 
     def run(batches):
         import pyarrow as pa
@@ -80,10 +81,11 @@ def sketches(docs: DataFrame) -> DataFrame:
         for batch in common.short(batches):
             sets = [shingles(t.as_py()) for t in batch.column(2)]
             keys = np.array([xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+            fps = np.array([simhash.majority(s) for s in sets], np.uint64).view(np.int64)
             found = [buckets(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64()), pa.array(map(len, sets), pa.int32()), pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.binary())], ["doc_id", "text_hash", "key", "n", "buckets", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64()), pa.array(map(len, sets), pa.int32()), pa.array(fps, pa.int64()), pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.binary())], ["doc_id", "text_hash", "key", "n", "fp", "buckets", "sketch"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, key long, n int, buckets array<long>, sketch binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, key long, n int, fp long, buckets array<long>, sketch binary")
 
 
 def hashed(texts: DataFrame) -> DataFrame:
@@ -186,6 +188,15 @@ def close(rows: DataFrame) -> DataFrame:
     return dealt.repartition("group").sortWithinPartitions("group").mapInArrow(compare, "a long, b long")
 
 
+def anchored(distinct: DataFrame) -> DataFrame:
+    """Pairs (a, b) of keys whose fingerprints are equal or meet at an anchor and differ in at most 3 bits; they join all keys (key, fp) that such pairs join."""
+    each = common.stored(distinct.groupBy("fp").agg(F.min("key").alias("node"), F.count("*").alias("sharing")), "fingerprints")
+    met = simhash.links(each.select("fp", "node"), direct=True)
+    keys, nodes = common.with_salt(distinct.select("fp", "key"), each.where("sharing > 1"), ["fp"], "sharing", distinct.count(), F.xxhash64("key"))
+    equal = keys.join(nodes, ["fp", "salt"]).where("key != node").select(F.col("key").alias("a"), F.col("node").alias("b"))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().union(equal)
+
+
 def _fits(n: str, m: str):
     """Whether sets of such sizes can be similar at all."""
     return F.least(n, m) * OF >= F.greatest(n, m) * PART
@@ -195,15 +206,18 @@ def components(docs: DataFrame) -> DataFrame:
     """doc_id and component_id (smallest doc_id that links reach), for each text of every row with an id. Rows that share an id count as one document."""
     common.prepare(docs.sparkSession)
     rows = common.stored(sketches(docs.where("doc_id is not null")), "sketches")
-    distinct = common.stored(rows.groupBy("key").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.any_value("n").alias("n"), F.any_value("buckets").alias("buckets"), F.any_value("sketch").alias("sketch")), "distinct-shingles")
+    distinct = common.stored(rows.groupBy("key").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.any_value("n").alias("n"), F.any_value("fp").alias("fp"), F.any_value("buckets").alias("buckets"), F.any_value("sketch").alias("sketch")), "distinct-shingles")
     members = distinct.select(F.explode("buckets").alias("bucket"), "key", "n")
     shared = members.groupBy("bucket").count().where("count > 1").select("bucket")
     members = common.stored(members.join(shared, "bucket"), "buckets")
-    wanted = distinct.join(members.select("key").distinct(), "key", "left_semi").select("key", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"))
+    near = common.stored(anchored(distinct), "anchored")
+    wanted = members.select("key").union(near.select("a")).union(near.select("b")).distinct()
+    wanted = distinct.join(wanted, "key", "left_semi").select("key", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"))
     texts = common.stored(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).join(wanted, ["doc_id", "text_hash"]).select("key", "text").dropDuplicates(["key"]), "candidates")
     # an id with several texts links their keys
     several = rows.groupBy("doc_id").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low != high").select("doc_id", "low")
     edges = common.stored(rows.join(several, "doc_id").select(F.col("key").alias("a"), F.col("low").alias("b")).distinct(), "links")
+    edges = edges.union(common.stored(verified(near, texts), "links"))
     found = common.stored(connected_components(edges, "near-copies"), "components")
     for k in range(PIVOTS + 1):
         placed = members.join(found.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", "n", F.coalesce("component", "key").alias("component"))

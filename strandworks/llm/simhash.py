@@ -42,8 +42,12 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
             ends.append(at)
             at += 1
         hashes = [xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :])]
+    return majority(np.array(hashes, "<u8"))
+
+
+def majority(h: np.ndarray) -> int:
+    """The unsigned 64-bit number with the bits that are set in over half of some hashes."""
     counts = np.zeros(64, np.int64)
-    h = np.array(hashes, "<u8")
     for a in range(0, len(h), 4096):
         counts += np.unpackbits(h[a : a + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(counts * 2 > len(h), bitorder="little").view("<u8")[0])
@@ -86,9 +90,9 @@ def anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(codes), np.concatenate(home)
 
 
-def forest(fps: np.ndarray, nodes: np.ndarray, home: np.ndarray) -> list[tuple[int, int]]:
-    """Links (node, smallest linked node) of one anchor's fingerprints, where one of a compared pair is at home and they differ in at most 3 bits."""
-    parent = list(range(len(fps)))
+def forest(fps: np.ndarray, nodes: np.ndarray, home: np.ndarray, direct: bool = False) -> list[tuple[int, int]]:
+    """Links (node, smallest linked node) of one anchor's fingerprints, where one of a compared pair is at home and they differ in at most 3 bits. direct: as many compared pairs."""
+    parent, pairs = list(range(len(fps))), []
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -105,6 +109,9 @@ def forest(fps: np.ndarray, nodes: np.ndarray, home: np.ndarray) -> list[tuple[i
             a, b = root(k), root(j)
             if a != b:
                 parent[b] = a
+                pairs.append((int(nodes[k]), int(nodes[j])))
+    if direct:
+        return pairs
     best: dict[int, int] = {}
     for i in range(len(fps)):
         r = root(i)
@@ -112,8 +119,8 @@ def forest(fps: np.ndarray, nodes: np.ndarray, home: np.ndarray) -> list[tuple[i
     return [(int(nodes[i]), int(best[root(i)])) for i in range(len(fps)) if nodes[i] != best[root(i)]]
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """Links (a, b) that join all of distinct fingerprints (fp, node) that differ in at most 3 bits, directly or through others."""
+def links(distinct: DataFrame, direct: bool = False) -> DataFrame:
+    """Links (a, b) that join all of distinct fingerprints (fp, node) that differ in at most 3 bits, directly or through others. direct: each link's own fingerprints differ so little."""
 
     def replicate(batches):
         import pyarrow as pa
@@ -137,7 +144,7 @@ def links(distinct: DataFrame) -> DataFrame:
             for k in np.nonzero(np.diff(cuts[: stop + 1]) > 1)[0]:
                 a, b = cuts[k], cuts[k + 1]
                 if home[a:b].any():
-                    out += forest(fps[a:b], nodes[a:b], home[a:b])
+                    out += forest(fps[a:b], nodes[a:b], home[a:b], direct)
             return out, cuts[stop]
 
         def batch_of(out):

@@ -7,7 +7,7 @@ import re
 import pytest
 
 from llm_data import ROWS, documents, empty
-from strandworks.llm import near_copies
+from strandworks.llm import near_copies, simhash
 
 
 def brute(rows):
@@ -84,6 +84,23 @@ def test_a_group_of_unlike_texts_makes_no_table_of_pairs(spark, monkeypatch, has
     assert max(counts.values()) <= near_copies.BANDS * len(rows) < len(rows) * (len(rows) - 1) // 3
 
 
+def test_anchors_link_copies_that_differ_in_few_bits(spark, monkeypatch):
+    """Without any round of bands, similar texts whose fingerprints differ in at most 3 bits are linked, and no others."""
+    monkeypatch.setattr(near_copies, "PIVOTS", -1)
+    rng, rows, want, linked = random.Random(9), [], {}, 0
+    for g in range(30):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+        pair = [" ".join(base), mutated(rng, base, 1)]
+        rows += [(2 * g, pair[0]), (2 * g + 1, pair[1])]
+        one, other = (simhash.majority(near_copies.shingles(t)) for t in pair)
+        near = (one ^ other).bit_count() <= simhash.DIFFER
+        want |= {2 * g: 2 * g, 2 * g + 1: 2 * g + (not near)}
+        linked += near
+    assert 5 < linked < 30
+    got = near_copies.components(documents(spark, [(d, t, "en", "s", 0) for d, t in rows])).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
 def test_the_stage_drops_near_copies(spark):
     import corpus_pipeline
 
