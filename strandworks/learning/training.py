@@ -1,8 +1,8 @@
 """Training by many tasks at once: each has a part of the examples, and every step sums all parts' gradients.
 
-A step is a job: weights go out with it, a gradient a task comes back (at most MOST_PARTS of them), and the driver moves the weights. Examples stay in the executors' memory between steps and are made again where an
-executor is lost. (A barrier stage whose tasks keep the weights and exchange gradients by allGather was tried: its steps took as long.) Gradients are summed in the order of tasks, steps take examples by a
-hash of their key, and nothing else is random, so results don't depend on how examples are dealt out but for the last bits of sums.
+A step is a job: weights go out with it, a gradient a task comes back (those of more than MOST_SUMS tasks are added up by tasks first), and the driver moves the weights. All examples count, however many there are: they stay in
+the executors' memory between steps, what doesn't fit on their disks, and are made again where an executor is lost. (A barrier stage whose tasks keep the weights and exchange gradients by allGather was tried: its steps took as long.)
+Gradients are summed in the order of tasks, steps take examples by a hash of their key, and nothing else is random, so results don't depend on how examples are dealt out but for the last bits of sums.
 
 Two phases: the head alone, then all weights. Steps are by AdamW (decay apart from the gradient), with a cosine schedule in each phase, smoothed labels, class weights, and gradients clipped by their norm.
 """
@@ -25,8 +25,8 @@ from ..registry import query
 from ..tables import N1, traces
 from .network import Network
 
-#: Rows that training takes at most, a sample by hash beyond that: executors hold them all through training. Rows of a part, and the most parts.
-TRAIN_ROWS, PART_ROWS, MOST_PARTS = 200_000, 500, 64
+#: Rows of a part up to MOST_SUMS parts and the most beyond that, and the sums that come to the driver at most.
+PART_ROWS, MOST_PART_ROWS, MOST_SUMS = 500, 5_000, 64
 #: Grids that a task puts through the network at once: each takes some 500 kB while gradients are made.
 SLICE_ROWS = 64
 
@@ -86,10 +86,31 @@ class Trained:
 HISTORY = "epoch int, phase string, rate double, loss double, accuracy double, val_loss double, val_accuracy double, best boolean"
 
 
+def parts_of(rows: int) -> int:
+    """How many parts so many rows are dealt out to: they grow with the rows, so that a task's work has a bound."""
+    return max(1, min(-(-rows // PART_ROWS), MOST_SUMS), -(-rows // MOST_PART_ROWS))
+
+
+def added(sums: DataFrame) -> DataFrame:
+    """Sums of parts (part: integer, sums: binary, doubles) added up in MOST_SUMS tasks, each in the order of parts; a task without any gives no row."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        total = 0.0
+        for batch in batches:
+            for one in batch.column(1):
+                total = total + np.frombuffer(one.as_py())
+        if np.ndim(total):
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+    return sums.select("part", "sums").repartition(MOST_SUMS, F.col("part") % MOST_SUMS).sortWithinPartitions("part").mapInArrow(run, "sums binary")
+
+
 def train(examples: DataFrame, network: Network, classes: list, plan: Plan = Plan(), parts: int | None = None) -> Trained:
     """Trains on examples (key: integer, grid: array of height x width numbers, label, held_out: boolean); the held-out ones choose the epoch whose weights count, the first of the best.
 
-    Rows whose label is none of the classes, or whose grid is null or of another size, don't count. Of more than TRAIN_ROWS rows a sample by hash of the key counts. Classes weigh the same, however many rows each has.
+    Rows whose label is none of the classes, or whose grid is null or of another size, don't count. Classes weigh the same, however many rows each has.
     """
     if not classes or len(set(classes)) != len(classes) or network.classes != len(classes):
         raise ValueError("there must be as many different classes as the network has")
@@ -98,11 +119,8 @@ def train(examples: DataFrame, network: Network, classes: list, plan: Plan = Pla
     spark.sparkContext.environment["OMP_NUM_THREADS"] = "1"  # tasks share the cores already
     size = network.height * network.width
     usable = examples.where(F.col("label").isin(classes) & (F.size("grid") == size) & F.col("key").isNotNull())
-    total = usable.count()
-    if total > TRAIN_ROWS:
-        usable = usable.where(draws.uniform(F.col("key"), 977) < TRAIN_ROWS / total)
     numbers = F.array_position(F.array(*map(F.lit, classes)), F.col("label")) - 1
-    parts = parts or max(1, min(-(-min(total, TRAIN_ROWS) // PART_ROWS), MOST_PARTS))
+    parts = parts or parts_of(usable.count())
     dealt = usable.select(F.col("key").cast("long"), F.col("grid").cast("array<double>"), numbers.cast("int").alias("label"), F.when(F.col("held_out"), -1).otherwise(F.pmod(draws.mix(F.col("key")), F.lit(plan.steps))).cast("int").alias("turn"), (~F.col("held_out")).alias("free")).repartition(parts, "key", F.xxhash64("grid")).persist()
     counts = {classes[r["label"]]: r["n"] for r in dealt.where("free").groupBy("label").agg(F.count("*").alias("n")).collect()}  # a row a class
     if not counts:
@@ -115,6 +133,7 @@ def train(examples: DataFrame, network: Network, classes: list, plan: Plan = Pla
 
         def run(batches):
             import pyarrow as pa
+            from pyspark import TaskContext
 
             total, weights = np.zeros(len(flat) * back + 5), network.named(flat)
             for batch in batches:
@@ -126,10 +145,10 @@ def train(examples: DataFrame, network: Network, classes: list, plan: Plan = Pla
                     judged = [-(targets * np.log(np.maximum(chance, 1e-300))).sum(), (chance.argmax(1) == y).sum(), len(y)]
                     loss, gradient = network.gradients(weights, x, targets, each[y]) if back else (0.0, [])
                     total += np.concatenate([gradient, [loss, each[y].sum()], judged])
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["part", "sums"])
 
-        rows = dealt.where(F.col("turn") == turn).select("grid", "label").mapInArrow(run, "sums binary").collect()  # a row a part
-        return np.sum([np.frombuffer(r["sums"]) for r in rows], 0)
+        rows = dealt.where(F.col("turn") == turn).select("grid", "label").mapInArrow(run, "part int, sums binary")  # a row a part
+        return np.sum([np.frombuffer(r["sums"]) for r in (added(rows) if parts > MOST_SUMS else rows).collect()], 0)
 
     of = lambda s, i: float(s[i] / s[-1]) if s[-1] else None
     flat, head_only = network.flat(network.initial(plan.seed)), ~network.backbone()

@@ -106,3 +106,37 @@ def test_grids_go_through_the_network_a_slice_at_a_time(spark):
     df = examples(spark, 600)
     model = training.train(df, Limited(4, 5, 3), list("abc"), training.Plan(epochs=(1, 0), steps=2), parts=1)
     assert training.predicted(df.repartition(1), model).where("pred is not null").count() == 600
+
+
+def test_all_rows_count_in_training(spark):
+    n, network = 210_000, Network(1, 1, 2, 1, 1)
+    x = F.pmod(F.col("id") * 37, F.lit(1009)) / 1009
+    df = spark.range(n).select(F.col("id").alias("key"), F.array(x).alias("grid"), F.when(x < 0.3, "a").otherwise("b").alias("label"), (F.col("id") % 10 == 0).alias("held_out"))
+    plan = training.Plan(epochs=(1, 0), steps=1)
+    got = training.train(df, network, list("ab"), plan)
+    keys = np.arange(n)
+    grids = keys * 37 % 1009 / 1009
+    labels, held = (grids >= 0.3).astype(int), keys % 10 == 0
+    targets = np.eye(2)[labels] * (1 - plan.smoothing) + plan.smoothing / 2
+
+    def judged(flat, rows):
+        chance = network.chances(network.named(flat), grids[rows].reshape(-1, 1, 1))
+        return -(targets[rows] * np.log(chance)).sum() / rows.sum(), (chance.argmax(1) == labels[rows]).mean()
+
+    start, history = network.flat(network.initial(plan.seed)), got.history[0]
+    assert np.allclose([history["loss"], history["accuracy"]], judged(start, ~held), rtol=0, atol=1e-10)
+    assert np.allclose([history["val_loss"], history["val_accuracy"]], judged(got.weights, held), rtol=0, atol=1e-10)
+    each = (~held).sum() / (2 * np.bincount(labels[~held]))
+    _, gradient = network.gradients(network.named(start), grids[~held].reshape(-1, 1, 1), targets[~held], each[labels[~held]])
+    moved = training.Adam(plan, len(start)).moved(start, gradient / each[labels[~held]].sum(), plan.rate(0, 0), ~network.backbone())
+    assert np.abs(got.weights - moved).max() < 1e-9
+
+
+def test_parts_grow_with_the_rows_and_their_sums_are_added_up_by_tasks(spark, trained, monkeypatch):
+    assert [training.parts_of(n) for n in (0, 1, 501, 32_000, 320_000, 320_001, 3_000_000)] == [1, 1, 2, 64, 64, 65, 600]
+    monkeypatch.setattr(training, "MOST_SUMS", 3)
+    rows = spark.createDataFrame([(k, np.array([k, 1.0]).tobytes()) for k in range(20)], "part int, sums binary").repartition(5)
+    got = [np.frombuffer(r["sums"]) for r in training.added(rows).collect()]
+    assert len(got) <= 3 and np.sum(got, 0).tolist() == [190, 20]
+    again = training.train(examples(spark), trained.network, trained.classes, training.Plan(epochs=(1, 4), steps=4), parts=10)
+    assert np.abs(again.weights - trained.weights).max() < 1e-9 and len(again.history) == 5
